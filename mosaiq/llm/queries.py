@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import decontaminate, neardup
-from .common import table
+from . import ann, decontaminate, html, neardup, warc
+from .common import map_text, table
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,13 +24,30 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op7_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    return map_text(table(spark, sf_dir, "pages"), "html", ["page_id", "url"], out, lambda: html.extract_batch).select("row.*", "out.*")
+
+
 def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op5_rotated_codes": op5_rotated_codes,
+    "op7_tag_paths": op7_tag_paths,
     "op8_bagminhash": op8_bagminhash,
+    "op10_warc": op10_warc,
 }
 
 #: DuckDB SQL for those that SQL expresses and runs quickly over whole tables.
