@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import ann, decontaminate, html, neardup, warc
+from . import ann, decontaminate, html, licenses, mixing, neardup, warc
 from .common import map_text, table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     return decontaminate.contaminated(found).select(
@@ -24,6 +28,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
@@ -43,7 +51,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_decontaminate": op2_decontaminate,
+    "op3_mixing": op3_mixing,
     "op5_rotated_codes": op5_rotated_codes,
     "op7_tag_paths": op7_tag_paths,
     "op8_bagminhash": op8_bagminhash,
@@ -51,4 +61,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for those that SQL expresses and runs quickly over whole tables.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_licenses": licenses.sql(), "op3_mixing": mixing.sql()}
