@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of an Arrow batch that holds whole texts, at most.
+BATCH = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -62,6 +65,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def node_filter(nodes: DataFrame, bits: int = 26) -> bytes:
+    """A bitmap of 2**bits bits in which the low bits of each number of column ``node`` are set. Its size is fixed, whatever the number of nodes."""
+    at = F.col("node").bitwiseAND((1 << bits) - 1) + 1  # bucket k of Spark's bitmap functions holds 32768 numbers from 32768 * (k - 1) + 1
+    rows = nodes.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("b")).collect()
+    out = bytearray((1 << bits) // 8)
+    for r in rows:  # 2**bits / 32768 rows of 4 kB at most
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = r["b"].ljust(4096, b"\0")
+    return bytes(out)
+
+
 def map_text(
     df: DataFrame, text: str, keep: Iterable[str], out: T.StructType, make: Callable[[], Callable[[pa.Array], dict[str, object]]]
 ) -> DataFrame:
@@ -69,6 +82,9 @@ def map_text(
 
     ``make`` is called once in each task. Results are nested, so that no name can clash.
     """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH:  # whole texts: smaller batches bound a task's memory
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     names = [f.name for f in out.fields]
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if list(keep) else F.struct(F.lit(0).alias("_"))
     given = df.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text"))

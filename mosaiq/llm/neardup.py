@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit
-from .common import cut, map_text
+from .common import cut, map_text, node_filter
 from .components import components
 
 K, LEAST, BANDS, ROWS = 5, 0.8, 30, 5
@@ -32,9 +32,11 @@ OUT = T.StructType(
         T.StructField("node", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
-        T.StructField("bag", T.BinaryType()),
     ]
 )
+BAG = "node bigint, rep bigint, bag binary"
+#: Bits of the filter that picks texts whose bags are made.
+FILTER_BITS = 25
 
 
 def bags(grams: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,11 +95,11 @@ def bag_minhash(shingles: np.ndarray, rows: np.ndarray, weight: np.ndarray, n_ro
 
 
 def sign(column: pa.Array, k: int = K, bands: int = BANDS, rows: int = ROWS) -> dict[str, object]:
-    """Identity of the word sequence, number of shingles, band hashes and shingle bag of each text."""
-    node, count, band, bag = [], [], [], []
+    """Identity of the word sequence, number of shingles and band hashes of each text."""
+    node, count, band = [], [], []
     for i, j, h, off in textkit.word_slices(column):
         g, go = textkit.grams(h, off, k)
-        shingles, docs, weight, each = bags(g, go)
+        shingles, docs, weight, _ = bags(g, go)
         sig = bag_minhash(shingles, docs, weight, j - i, bands * rows).astype(U64).reshape(j - i, bands, rows)
         hashed = np.broadcast_to(textkit.mix(np.arange(bands, dtype=U64)), (j - i, bands)).copy()
         for c in range(rows):
@@ -106,10 +108,33 @@ def sign(column: pa.Array, k: int = K, bands: int = BANDS, rows: int = ROWS) ->
         node.append(textkit.row_digest(h, off).astype(np.int64))
         count.append(n)
         for r in range(j - i):
-            own = each[go[r] : go[r + 1]]
-            bag.append(np.sort(own).tobytes())
             band.append(hashed[r].astype(np.int64) if n[r] else np.zeros(0, np.int64))
-    return {"node": np.concatenate(node) if node else [], "n": np.concatenate(count) if count else [], "bands": band, "bag": bag}
+    return {"node": np.concatenate(node) if node else [], "n": np.concatenate(count) if count else [], "bands": band}
+
+
+def bags_of(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, rep, bag) of the documents whose node the filter holds: at least those of ``nodes``, and by chance some others."""
+    held = docs.sparkSession.sparkContext.broadcast(node_filter(nodes, FILTER_BITS))
+
+    def make(batches):
+        bits = np.frombuffer(held.value, np.uint8)
+        for batch in batches:
+            for i, j, h, off in textkit.word_slices(batch.column("text")):
+                node = textkit.row_digest(h, off)
+                low = node & U64((1 << FILTER_BITS) - 1)
+                pick = np.flatnonzero((bits[(low >> U64(3)).astype(np.int64)] >> (low & U64(7)).astype(np.uint8)) & 1)
+                if not len(pick):
+                    continue
+                size = np.diff(off)[pick]
+                words = np.concatenate([h[off[r] : off[r + 1]] for r in pick])
+                g, go = textkit.grams(words, np.concatenate([[0], np.cumsum(size)]), k)
+                each = bags(g, go)[3]
+                bag = [np.sort(each[go[r] : go[r + 1]]).tobytes() for r in range(len(pick))]
+                ids = batch.column("rep").take(pa.array(i + pick))
+                yield pa.RecordBatch.from_arrays([pa.array(node[pick].astype(np.int64)), ids, pa.array(bag, pa.binary())], ["node", "rep", "bag"])
+
+    given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("rep"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
+    return given.mapInArrow(make, BAG)
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -156,13 +181,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
         x = x.where(F.least("m", "n") >= F.lit(least) * F.greatest("m", "n"))
         return x.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
-    def bag_of(*pairs):
-        ends = [p.select(F.col(c).alias("node")) for p in pairs for c in ("a", "b")]
-        wanted = ends[0]
-        for e in ends[1:]:
-            wanted = wanted.union(e)
-        wanted = wanted.distinct().join(texts.select("node", "rep"), "node")
-        own = full.select("node", F.col("doc_id").alias("rep"), "bag")
+    def bag_of(p):
+        wanted = p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
+        wanted = wanted.join(texts.select("node", "rep"), "node")
+        own = bags_of(docs, doc_id, text, wanted, k)
         same = (own["node"] == wanted["node"]) & (own["rep"].eqNullSafe(wanted["rep"]))
         return own.join(wanted, same, "left_semi").groupBy("node").agg(F.first("bag").alias("bag"))
 

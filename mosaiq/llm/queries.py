@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import ann, decontaminate, html, licenses, mixing, neardup, warc
+from . import ann, decontaminate, html, licenses, mixing, neardup, toxicity, warc
 from .common import map_text, table
 
 
@@ -32,6 +32,16 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return scored.select(
+        F.col("row.doc_id").alias("doc_id"),
+        toxicity.held_out(F.col("row.doc_id")).alias("held_out"),
+        F.col("out.score").alias("score"),
+        (F.col("out.score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op5_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
@@ -54,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_decontaminate": op2_decontaminate,
     "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
     "op5_rotated_codes": op5_rotated_codes,
     "op7_tag_paths": op7_tag_paths,
     "op8_bagminhash": op8_bagminhash,
