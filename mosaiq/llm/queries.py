@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import ann, decontaminate, html, licenses, mixing, neardup, toxicity, warc
+from . import ann, decontaminate, html, licenses, maxent, mixing, neardup, toxicity, warc
 from .common import map_text, table
 
 
@@ -56,6 +56,10 @@ def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op9_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_rotated_codes": op5_rotated_codes,
     "op7_tag_paths": op7_tag_paths,
     "op8_bagminhash": op8_bagminhash,
+    "op9_maxent": op9_maxent,
     "op10_warc": op10_warc,
 }
 
