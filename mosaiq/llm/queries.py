@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import ann, decontaminate, html, licenses, maxent, mixing, neardup, toxicity, warc
+from . import ann, decontaminate, html, licenses, maxent, mixing, neardup, pii, toxicity, warc
 from .common import map_text, table
 
 
@@ -47,6 +47,17 @@ def op5_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), ["doc_id"])
+    count = [pii.count_of(F.col("base"), k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        *count,
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.array_sort(F.concat("base", "terms"))).alias("spans"),
+    )
+
+
 def op7_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return map_text(table(spark, sf_dir, "pages"), "html", ["page_id", "url"], out, lambda: html.extract_batch).select("row.*", "out.*")
@@ -70,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_rotated_codes": op5_rotated_codes,
+    "op6_disclosure": op6_disclosure,
     "op7_tag_paths": op7_tag_paths,
     "op8_bagminhash": op8_bagminhash,
     "op9_maxent": op9_maxent,
