@@ -24,6 +24,8 @@ from .common import cut, map_text, node_filter
 from .components import components
 
 K, LEAST, BANDS, ROWS = 5, 0.8, 30, 5
+#: Rounds in which bands of several components are tried with further centres before what is left is compared in full.
+CENTRES = 2
 U64 = np.uint64
 GOLD = U64(0x9E3779B97F4A7C15)
 
@@ -160,9 +162,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     """One row (doc_id, class_id, class_size) per document; class_id is the smallest doc_id of all documents linked directly or through others.
 
     Texts with equal words are one text from the start (a partial aggregate, so thousands of copies cost no more than one). In each band
-    all texts are checked against the band's smallest; where more than one component remains in a band, every text outside the band's
-    largest component is checked against all texts of other components, so that no link that a band offers is lost and no band is
-    expanded into all pairs. A text of 1 to 4 words is one shingle. Documents without words (null and empty texts too) are classes of
+    all texts are checked against the one with most band mates, the likely centre of its near copies; bands that keep several components
+    are tried with further centres; then every text outside a band's largest component is checked against all texts of other components.
+    So no link that a band offers between components is lost, and a band of near copies isn't expanded into all pairs. A text of 1 to 4 words is one shingle. Documents without words (null and empty texts too) are classes of
     their own, by doc_id; rows with a null doc_id get the class of their text. Repeated rows stay repeated. An empty table gives none.
     """
 
@@ -173,35 +175,57 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     full = signed.where("n > 0")
     texts = cut(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
     member = texts.select("node", "n", F.explode("bands").alias("band"))
-    bucket = member.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("least")).where("size > 1")
+    bucket = member.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     inside = cut(member.join(bucket, "band"), "inside")
+    # how many band mates a text has: the centre of a group of near copies has most
+    weight = inside.groupBy("node").agg(F.sum("size").alias("mates"))
+    inside = cut(inside.join(weight, "node"), "inside")
+    wanted = weight.select("node").join(texts.select("node", "rep"), "node")
+    own = bags_of(docs, doc_id, text, wanted, k)
+    same = (own["node"] == wanted["node"]) & (own["rep"].eqNullSafe(wanted["rep"]))
+    bag = cut(own.join(wanted, same, "left_semi").groupBy("node").agg(F.first("bag").alias("bag")), "bags")
 
     def near(x):
-        """Only pairs whose sizes allow the similarity; the smaller node first, each once."""
+        """Only pairs (u of n shingles, v of m) whose sizes allow the similarity; the smaller node first, each once."""
         x = x.where(F.least("m", "n") >= F.lit(least) * F.greatest("m", "n"))
         return x.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
-    def bag_of(p):
-        wanted = p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
-        wanted = wanted.join(texts.select("node", "rep"), "node")
-        own = bags_of(docs, doc_id, text, wanted, k)
-        same = (own["node"] == wanted["node"]) & (own["rep"].eqNullSafe(wanted["rep"]))
-        return own.join(wanted, same, "left_semi").groupBy("node").agg(F.first("bag").alias("bag"))
-
-    star = inside.where(F.col("node") != F.col("least.node")).select(F.col("node").alias("u"), "n", F.col("least.node").alias("v"), F.col("least.n").alias("m"))
-    pairs = cut(near(star), "pairs")
-    links = cut(verified(pairs, cut(bag_of(pairs), "bags"), least), "links")
+    # each band's texts against its centre
+    centre = inside.groupBy("band").agg(F.max(F.struct("mates", "node", "n")).alias("c"))
+    star = inside.join(centre, "band").where(F.col("node") != F.col("c.node"))
+    tested = cut(near(star.select(F.col("node").alias("u"), "n", F.col("c.node").alias("v"), F.col("c.n").alias("m"))), "pairs")
+    links = cut(verified(tested, bag, least), "links")
     comp = components(links)
-    # bands that still hold several components
-    many = inside.where("size > 2").select("band", "node", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sizes = many.groupBy("band", "comp").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    split = cut(many.join(sizes.select("band", "main"), "band"), "split")
-    out = split.where("comp != main").select("band", F.col("node").alias("u"), "n", F.col("comp").alias("c"))
-    rest = split.select("band", F.col("node").alias("v"), F.col("n").alias("m"), F.col("comp").alias("d"))
-    more = cut(near(out.join(rest, "band").where("c != d")).join(pairs, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = links.union(cut(verified(more, cut(bag_of(more), "bags"), least), "links"))
-        comp = components(links)
+    several = inside.where("size > 2").select("band", "node", "n", "mates")
+    for turn in range(CENTRES + 1):
+        # bands that still hold several components; the rest of the bands are settled for good
+        many = several.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        order = F.xxhash64("node", F.lit(turn))
+        parts = many.groupBy("band", "comp").agg(F.count("*").alias("k"), F.max(F.struct("mates", "node", "n")).alias("top"), F.min(F.struct(order.alias("o"), "node", "n")).alias("any"))
+        main = parts.groupBy("band").agg(F.max(F.struct("k", "comp", "any")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main")
+        split = cut(many.join(main, "band"), "split")
+        several = split.select("band", "node", "n", "mates")
+        out = split.where("comp != main.comp")
+        if turn < CENTRES:  # texts outside a band's largest component against one of its texts, and all texts of a band against the centre of the others
+            first = out.select(F.col("node").alias("u"), "n", F.col("main.any.node").alias("v"), F.col("main.any.n").alias("m"))
+            others = out.groupBy("band").agg(F.max(F.struct("mates", "node", "n", "comp")).alias("c"))
+            second = split.join(others, "band").where(F.col("comp") != F.col("c.comp")).select(F.col("node").alias("u"), "n", F.col("c.node").alias("v"), F.col("c.n").alias("m"))
+            pairs = near(first.union(second))
+        else:  # what is left: texts outside the largest component against all texts of other components
+            left = out.select("band", F.col("node").alias("u"), "n", F.col("comp").alias("c"))
+            rest = split.select("band", F.col("node").alias("v"), F.col("n").alias("m"), F.col("comp").alias("d"))
+            fits = (F.col("c") != F.col("d")) & (F.least("m", "n") >= F.lit(least) * F.greatest("m", "n"))
+            pairs = near(left.join(rest, "band").where(fits))
+        more = cut(pairs.join(tested, ["a", "b"], "left_anti"), "more")
+        if more.isEmpty():
+            if turn < CENTRES:
+                continue
+            break
+        tested = tested.union(more)
+        found = cut(verified(more, bag, least), "links")
+        if not found.isEmpty():
+            links = links.union(found)
+            comp = components(links)
     label = texts.select("node", "rep", "copies").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     of = label.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
     named = label.select("node", "comp").join(of, "comp").select("node", "class_id", "class_size")
