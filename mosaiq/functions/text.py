@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 LETTERS = "ABCDEFGHIJKLM"
 
 
+def first_group(s: Column, pattern: Column) -> Column:
+    """regexp_extract with a pattern that may differ by row."""
+    return F.call_function("regexp_extract", s, pattern, F.lit(1))
+
+
 def pytrim(s: Column) -> Column:
     """Python's str.strip for ASCII white space."""
     return F.regexp_replace(s, "^\\s+|\\s+$", "")
@@ -46,7 +51,7 @@ def parse_choice(t: Column, is_yesno: Column, letters: Column) -> Column:
     """X-03: the chosen letter or Yes/No. In a non-empty answer tag the first bare one, else the raw body; without it the last explicit conclusion; else ''."""
     body = extract_answer(t)
     token = F.when(is_yesno, F.lit("yes|no")).otherwise(F.concat(F.lit("["), letters, F.lit("]")))
-    bare = F.regexp_extract(body, F.concat(F.lit("(?i)\\b("), token, F.lit(")\\b")), 1)
+    bare = first_group(body, F.concat(F.lit("(?i)\\b("), token, F.lit(")\\b")))
     said = F.regexp_extract_all(t, F.when(is_yesno, F.lit(CONCLUDE_YESNO)).otherwise(F.concat(F.lit(CONCLUDE_LETTER), letters, F.lit("])\\b"))), F.lit(1))
     shape = lambda x: F.when(is_yesno, pycap(x)).otherwise(F.upper(x))
     return F.when((body != "") & (bare != ""), shape(bare)).when(body != "", body).when(F.size(said) > 0, shape(F.element_at(said, -1))).otherwise("")
@@ -55,7 +60,7 @@ def parse_choice(t: Column, is_yesno: Column, letters: Column) -> Column:
 def gt_choice(answer: Column, is_yesno: Column, letters: Column) -> Column:
     """X-04: the gold choice: yes/no capitalised; else the first letter anywhere, without word boundaries; else the upper-cased answer."""
     a = pytrim(answer)
-    hit = F.regexp_extract(a, F.concat(F.lit("(?i)(["), letters, F.lit("])")), 1)
+    hit = first_group(a, F.concat(F.lit("(?i)(["), letters, F.lit("])")))
     return F.when(is_yesno, pycap(a)).when(hit != "", F.upper(hit)).otherwise(F.upper(a))
 
 

@@ -28,19 +28,20 @@ def j02(spark, d):
 _TAKES = "SELECT n_name AS take_name, n_nationkey AS take_uid FROM nation WHERE n_nationkey % 3 <> 0"
 
 
-@query("j03_takes", f"SELECT n_name AS take_name, take_uid, take_uid IS NULL AS unmatched FROM nation LEFT JOIN ({_TAKES}) t ON t.take_name = n_name")
+@query("j03_takes", f"SELECT n_name AS take_name, coalesce(take_uid, -1) AS take_uid, take_uid IS NULL AS unmatched FROM nation LEFT JOIN ({_TAKES}) t ON t.take_name = n_name")
 def j03(spark, d):
     wanted = table(spark, d, "nation").select(F.col("n_name").alias("take_name"))
     takes = sql(spark, d, _TAKES)
     hit = wanted.join(takes, "take_name").withColumn("unmatched", F.lit(False))
-    return hit.unionByName(wanted.join(takes, "take_name", "left_anti").withColumn("unmatched", F.lit(True)), allowMissingColumns=True)
+    lost = wanted.join(takes, "take_name", "left_anti").select("take_name", F.lit(-1).alias("take_uid"), F.lit(True).alias("unmatched"))
+    return hit.unionByName(lost)
 
 
-@query("j04_listing", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, e.event_id AS listed FROM orders LEFT JOIN (SELECT min(event_id) AS event_id, user_id FROM events GROUP BY user_id) e ON e.user_id = o_custkey")
+@query("j04_listing", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, coalesce(e.event_id, -1) AS listed FROM orders LEFT JOIN (SELECT min(event_id) AS event_id, user_id FROM events GROUP BY user_id) e ON e.user_id = o_custkey")
 def j04(spark, d):
     listing = table(spark, d, "events").groupBy(F.col("user_id").alias("o_custkey")).agg(F.min("event_id").alias("listed"))
     wanted = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
-    return wanted.join(listing, "o_custkey", "left").select("o_orderkey", "day", "listed")
+    return wanted.join(listing, "o_custkey", "left").select("o_orderkey", "day", F.coalesce("listed", F.lit(-1)).alias("listed"))
 
 
 _PRESENT = "contains(path, '/A/') OR contains(path, '/N/') OR contains(path, '.1.')"
@@ -187,7 +188,7 @@ def w10(spark, d):
     return spark.range(1).select(F.posexplode(out).alias("i", "y"))
 
 
-@query("w11_examples", oracle("SELECT task_type, id FROM (SELECT task_type, id, row_number() OVER (PARTITION BY task_type ORDER BY id) - 1 AS at, count(*) OVER (PARTITION BY task_type) AS n FROM v_question WHERE n_options = 4) WHERE at = 7 % n"))
+@query("w11_examples", oracle("SELECT task_type, id FROM (SELECT task_type, id, row_number() OVER (PARTITION BY task_type ORDER BY id) - 1 AS place, count(*) OVER (PARTITION BY task_type) AS n FROM v_question WHERE n_options = 4) WHERE place = 7 % n"))
 def w11(spark, d):
     q = view(spark, d, "v_question").where("n_options = 4").select("task_type", "id")
     n = q.groupBy("task_type").agg(F.count("*").alias("n"))
@@ -248,9 +249,9 @@ def u02(spark, d):
     return view(spark, d, "v_result").select("task_type", "backend").distinct()
 
 
-@query("u03_difference", "SELECT l_partkey AS part FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("u03_difference", "SELECT l_partkey AS part FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45 EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45")
 def u03(spark, d):
-    rows = table(spark, d, "lineitem").where("l_returnflag IN ('A', 'R')").groupBy(F.col("l_partkey").alias("part"))
+    rows = table(spark, d, "lineitem").where("l_returnflag IN ('A', 'R') AND l_quantity > 45").groupBy(F.col("l_partkey").alias("part"))
     seen = rows.agg(F.max(F.col("l_returnflag") == "A").alias("a"), F.max(F.col("l_returnflag") == "R").alias("r"))
     return seen.where("a AND NOT r").select("part")
 
