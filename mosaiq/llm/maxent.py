@@ -17,6 +17,7 @@ known by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -150,7 +151,8 @@ def trained(docs: DataFrame, text: str, vocabulary, rounds: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([own.tobytes()], pa.binary())], ["n", "w"])
 
         got = part.mapInArrow(run, "n double, w binary").rdd.map(lambda r: (r["n"], np.frombuffer(r["w"], np.float32).astype(np.float64) * r["n"]))
-        total, summed = got.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=2) if not part.isEmpty() else (0.0, None)
+        depth = max(2, ceil(log(max(2, got.getNumPartitions()), 4)))  # so that the driver adds up about four arrays, whatever the number of tasks
+        total, summed = got.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=depth) if not part.isEmpty() else (0.0, None)
         if total:
             weights = (summed / total).astype(np.float32).reshape(BUCKETS, CLASSES)
         shared.unpersist()
