@@ -36,6 +36,8 @@ BOILER_WORDS = frozenset(
     "header hidden masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related replies "
     "reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget widgets".split()
 )
+#: Names that mark an article element as something beside the main one.
+ASIDE_WORDS = frozenset("ad ads advert comment comments promo related reply sponsored teaser".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -62,13 +64,14 @@ class Node:
 def is_boiler(tag: str, attributes: str) -> bool:
     if tag in BOILER_TAGS:
         return True
-    if tag in ("html", "body", "article", "main") or not attributes:
+    if tag in ("html", "body", "main") or not attributes:
         return False
+    known = ASIDE_WORDS if tag == "article" else BOILER_WORDS
     for m in _NAMES.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
-            if any(w.lower() in BOILER_WORDS for w in _WORDS.findall(name)):
+            if any(w.lower() in known for w in _WORDS.findall(name)):
                 return True
-    return bool(_HIDDEN.search(attributes))
+    return tag != "article" and bool(_HIDDEN.search(attributes))
 
 
 def nodes(source: str) -> list[Node]:

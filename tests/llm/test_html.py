@@ -22,6 +22,7 @@ ARTICLE = "<article><h1>Title here</h1><p>First, paragraph; with text.</p><p>Sec
         ('<article><p title="a>b" data-x=\'<p>\'>ok</p></article>', "ok"),
         ("<article><p>address and badly readable shading</p></article>", "address and badly readable shading"),
         ("<article><p class='shadow address'>stays</p><p class='ad'>goes</p></article>", "stays"),
+        ("<article class='post has-sidebar'><p>Main, text.</p></article><article class='comment'><p>I agree, fully.</p></article>", "Main, text."),
     ],
 )
 def test_extract(page, expected):
