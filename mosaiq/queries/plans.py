@@ -114,13 +114,13 @@ def j12(spark, d):
 
 @query("w01_dense_ids", oracle("SELECT id, row_number() OVER (ORDER BY source, task_type, id) - 1 AS new_id FROM v_question"))
 def w01(spark, d):
-    """Dense ids by sort position: a range sort, row numbers within its partitions and the sizes of those before."""
-    q = view(spark, d, "v_question").select("id", "source", "task_type")
-    parts = q.groupBy("source", "task_type").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("source", "task_type").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = parts.select("source", "task_type", before.alias("start"))
-    at = F.row_number().over(Window.partitionBy("source", "task_type").orderBy("id"))
-    return q.withColumn("at", at).join(start, ["source", "task_type"]).select("id", (F.col("start") + F.col("at") - 1).cast("long").alias("new_id"))
+    """Dense ids by sort position: row numbers within blocks of ids, and the sizes of the blocks before."""
+    q = view(spark, d, "v_question").select("id", "source", "task_type", F.floor(F.col("id") / 65536).alias("block"))
+    blocks = q.groupBy("source", "task_type", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("source", "task_type", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = blocks.select("source", "task_type", "block", before.alias("start"))
+    at = F.row_number().over(Window.partitionBy("source", "task_type", "block").orderBy("id"))
+    return q.withColumn("at", at).join(start, ["source", "task_type", "block"]).select("id", (F.col("start") + F.col("at") - 1).cast("long").alias("new_id"))
 
 
 @query("w02_modulo_shards", oracle("SELECT task_type, (row_number() OVER (PARTITION BY task_type ORDER BY id) - 1) % 8 AS shard, id FROM v_question"))
