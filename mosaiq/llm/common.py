@@ -47,9 +47,7 @@ def clean() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be over
             return
 
@@ -57,12 +55,29 @@ def clean() -> None:
 atexit.register(clean)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of frames from cut() that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_scratch", None)
+        if path:
+            _written[:] = [x for x in _written if x[1] != path]
+            _delete(df.sparkSession, path)
 
 
 def node_filter(nodes: DataFrame, bits: int = 26) -> bytes:

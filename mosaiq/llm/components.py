@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -25,11 +25,14 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = cut(large.where("u != v").distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("w"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).union(least.select("u", F.col("w").alias("v")))
-        now = cut(small.where("u != v").distinct(), "edges")
+        before, now = now, cut(small.where("u != v").distinct(), "edges")
+        release(before, large)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == tuple(state):
             break
         seen = tuple(state)
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
+    out._scratch = now._scratch
+    return out

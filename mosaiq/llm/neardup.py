@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit
-from .common import cut, map_text, node_filter
+from .common import cut, map_text, node_filter, release
 from .components import components
 
 K, LEAST, BANDS, ROWS = 5, 0.8, 30, 5
@@ -164,8 +164,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     Texts with equal words are one text from the start (a partial aggregate, so thousands of copies cost no more than one). In each band
     all texts are checked against the one with most band mates, the likely centre of its near copies; bands that keep several components
     are tried with further centres; then every text outside a band's largest component is checked against all texts of other components.
-    So no link that a band offers between components is lost, and a band of near copies isn't expanded into all pairs. A text of 1 to 4 words is one shingle. Documents without words (null and empty texts too) are classes of
-    their own, by doc_id; rows with a null doc_id get the class of their text. Repeated rows stay repeated. An empty table gives none.
+    So no link that a band offers between components is lost, and a band of near copies isn't expanded into all pairs. A text of 1 to 4
+    words is one shingle. Documents without words (null and empty texts too) are classes of their own, by doc_id; rows with a null doc_id
+    get the class of their text. Repeated rows stay repeated. An empty table gives no rows; other columns are ignored.
     """
 
     def make():
@@ -179,11 +180,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     inside = cut(member.join(bucket, "band"), "inside")
     # how many band mates a text has: the centre of a group of near copies has most
     weight = inside.groupBy("node").agg(F.sum("size").alias("mates"))
-    inside = cut(inside.join(weight, "node"), "inside")
+    first_inside, inside = inside, cut(inside.join(weight, "node"), "inside")
     wanted = weight.select("node").join(texts.select("node", "rep"), "node")
     own = bags_of(docs, doc_id, text, wanted, k)
     same = (own["node"] == wanted["node"]) & (own["rep"].eqNullSafe(wanted["rep"]))
     bag = cut(own.join(wanted, same, "left_semi").groupBy("node").agg(F.first("bag").alias("bag")), "bags")
+    release(first_inside)
 
     def near(x):
         """Only pairs (u of n shingles, v of m) whose sizes allow the similarity; the smaller node first, each once."""
@@ -195,7 +197,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     star = inside.join(centre, "band").where(F.col("node") != F.col("c.node"))
     tested = cut(near(star.select(F.col("node").alias("u"), "n", F.col("c.node").alias("v"), F.col("c.n").alias("m"))), "pairs")
     links = cut(verified(tested, bag, least), "links")
-    comp = components(links)
+    comp, written = components(links), [inside, bag, tested, links]
     several = inside.where("size > 2").select("band", "node", "n", "mates")
     for turn in range(CENTRES + 1):
         # bands that still hold several components; the rest of the bands are settled for good
@@ -205,6 +207,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
         main = parts.groupBy("band").agg(F.max(F.struct("k", "comp", "any")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main")
         split = cut(many.join(main, "band"), "split")
         several = split.select("band", "node", "n", "mates")
+        written.append(split)
+        if split.isEmpty():
+            break
         out = split.where("comp != main.comp")
         if turn < CENTRES:  # texts outside a band's largest component against one of its texts, and all texts of a band against the centre of the others
             first = out.select(F.col("node").alias("u"), "n", F.col("main.any.node").alias("v"), F.col("main.any.n").alias("m"))
@@ -217,15 +222,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
             fits = (F.col("c") != F.col("d")) & (F.least("m", "n") >= F.lit(least) * F.greatest("m", "n"))
             pairs = near(left.join(rest, "band").where(fits))
         more = cut(pairs.join(tested, ["a", "b"], "left_anti"), "more")
+        written.append(more)
         if more.isEmpty():
             if turn < CENTRES:
                 continue
             break
         tested = tested.union(more)
         found = cut(verified(more, bag, least), "links")
+        written.append(found)
         if not found.isEmpty():
             links = links.union(found)
-            comp = components(links)
+            older, comp = comp, components(links)
+            release(older)
+    release(*written)
     label = texts.select("node", "rep", "copies").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     of = label.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
     named = label.select("node", "comp").join(of, "comp").select("node", "class_id", "class_size")
