@@ -13,6 +13,8 @@ multiset overlap of their shingles decides.
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +26,8 @@ from .common import cut, map_text, node_filter, release
 from .components import components
 
 K, LEAST, BANDS, ROWS = 5, 0.8, 30, 5
-#: Rounds in which bands of several components are tried with further centres before what is left is compared in full.
-CENTRES = 2
+#: Rounds in which bands of several components are dealt anew by what their texts share beside the centre; what is left then is compared in full.
+LEVELS = 4
 U64 = np.uint64
 GOLD = U64(0x9E3779B97F4A7C15)
 
@@ -139,32 +141,59 @@ def bags_of(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame, k: int) -
     return given.mapInArrow(make, BAG)
 
 
-def overlap(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard similarity of two bags."""
-    x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Overlap of two bags: sorted keys, each once."""
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum()) if len(y) else 0
 
 
-def verified(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose bags are as similar as asked."""
+def overlaps(pairs: DataFrame, bag: DataFrame) -> DataFrame:
+    """(a, b, both): the overlap of the bags of each pair."""
     wide = pairs.select("a", "b").join(bag.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a").join(bag.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b")
 
-    def check(batches):
+    def count(batches):
+        for batch in batches:
+            both = [shared(np.frombuffer(x, U64), np.frombuffer(y, U64)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64())], ["a", "b", "both"])
+
+    return wide.select("a", "b", "x", "y").mapInArrow(count, "a bigint, b bigint, both bigint")
+
+
+def residual_bands(cluster: DataFrame, bag: DataFrame, least: float) -> DataFrame:
+    """(band, node): bands of shingles that texts of a cluster have beside its centre.
+
+    cluster: (c, node, n, both, low), with the overlap with the centre and the smallest n of the cluster. Two texts of similarity t share
+    t/(1+t) of their shingles together; what the centre's overlaps can't give of that must be shared beside it. So the first keys of
+    what a text has beside the centre, all but the number it must share, meet those of any partner.
+    """
+    wide = cluster.join(bag, "node").join(bag.select(F.col("node").alias("c"), F.col("bag").alias("y")), "c")
+    share = least / (1 + least)
+
+    def emit(batches):
         for batch in batches:
-            ok = [overlap(x, y) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            centres, nodes, n, both, low = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("c", "node", "n", "both", "low"))
+            names, ids = [], []
+            for r, (x, y) in enumerate(zip(batch.column("bag").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+                rest = np.setdiff1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True)
+                need = max(1, ceil(share * (int(n[r]) + int(low[r])) - 1e-9) - int(both[r]))
+                first = rest[: max(0, len(rest) - need + 1)]
+                names.append(textkit.mix(first ^ textkit.mix(centres[r : r + 1].astype(np.int64).astype(U64))).astype(np.int64))
+                ids.append(np.full(len(first), nodes[r]))
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(ids).astype(np.int64))], ["band", "node"])
 
-    return wide.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+    return wide.select("c", "node", "n", "both", "low", "bag", "y").mapInArrow(emit, "band bigint, node bigint")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row (doc_id, class_id, class_size) per document; class_id is the smallest doc_id of all documents linked directly or through others.
 
     Texts with equal words are one text from the start (a partial aggregate, so thousands of copies cost no more than one). In each band
-    all texts are checked against the one with most band mates, the likely centre of its near copies; bands that keep several components
-    are tried with further centres; then every text outside a band's largest component is checked against all texts of other components.
-    So no link that a band offers between components is lost, and a band of near copies isn't expanded into all pairs. A text of 1 to 4
+    all texts are checked against the one with most band mates, the likely centre of its near copies. In bands that keep several components
+    two texts can still be similar by what both share with the centre, which their overlaps with it bound, or else must share some shingle
+    beside the centre: such shingles make the bands of the next round. So no link that a band offers between components is lost, and a
+    band of near copies isn't expanded into all pairs. A text of 1 to 4
     words is one shingle. Documents without words (null and empty texts too) are classes of their own, by doc_id; rows with a null doc_id
     get the class of their text. Repeated rows stay repeated. An empty table gives no rows; other columns are ignored.
     """
@@ -176,64 +205,68 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     full = signed.where("n > 0")
     texts = cut(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
     member = texts.select("node", "n", F.explode("bands").alias("band"))
-    bucket = member.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    inside = cut(member.join(bucket, "band"), "inside")
-    # how many band mates a text has: the centre of a group of near copies has most
-    weight = inside.groupBy("node").agg(F.sum("size").alias("mates"))
-    first_inside, inside = inside, cut(inside.join(weight, "node"), "inside")
-    wanted = weight.select("node").join(texts.select("node", "rep"), "node")
+    written = []
+
+    def keep(df, name):
+        written.append(cut(df, name))
+        return written[-1]
+
+    def crowded(member):
+        """Members of bands of several texts, with the number of band mates each has: the centre of a group of near copies has most."""
+        bucket = member.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+        inside = keep(member.join(bucket, "band"), "inside")
+        return keep(inside.join(inside.groupBy("node").agg(F.sum("size").alias("mates")), "node"), "inside")
+
+    share = least / (1 + least)
+    ordered = lambda u, v: (F.least(u, v).alias("a"), F.greatest(u, v).alias("b"))
+    inside = crowded(member)
+    wanted = inside.select("node").distinct().join(texts.select("node", "rep"), "node")
     own = bags_of(docs, doc_id, text, wanted, k)
     same = (own["node"] == wanted["node"]) & (own["rep"].eqNullSafe(wanted["rep"]))
-    bag = cut(own.join(wanted, same, "left_semi").groupBy("node").agg(F.first("bag").alias("bag")), "bags")
-    release(first_inside)
-
-    def near(x):
-        """Only pairs (u of n shingles, v of m) whose sizes allow the similarity; the smaller node first, each once."""
-        x = x.where(F.least("m", "n") >= F.lit(least) * F.greatest("m", "n"))
-        return x.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-
-    # each band's texts against its centre
-    centre = inside.groupBy("band").agg(F.max(F.struct("mates", "node", "n")).alias("c"))
-    star = inside.join(centre, "band").where(F.col("node") != F.col("c.node"))
-    tested = cut(near(star.select(F.col("node").alias("u"), "n", F.col("c.node").alias("v"), F.col("c.n").alias("m"))), "pairs")
-    links = cut(verified(tested, bag, least), "links")
-    comp, written = components(links), [inside, bag, tested, links]
-    several = inside.where("size > 2").select("band", "node", "n", "mates")
-    for turn in range(CENTRES + 1):
-        # bands that still hold several components; the rest of the bands are settled for good
-        many = several.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        order = F.xxhash64("node", F.lit(turn))
-        parts = many.groupBy("band", "comp").agg(F.count("*").alias("k"), F.max(F.struct("mates", "node", "n")).alias("top"), F.min(F.struct(order.alias("o"), "node", "n")).alias("any"))
-        main = parts.groupBy("band").agg(F.max(F.struct("k", "comp", "any")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main")
-        split = cut(many.join(main, "band"), "split")
-        several = split.select("band", "node", "n", "mates")
-        written.append(split)
+    bag = keep(own.join(wanted, same, "left_semi").groupBy("node").agg(F.first("bag").alias("bag")), "bags")
+    sizes = texts.select("node", "n")
+    tested = comp = None
+
+    def test(pairs):
+        """Overlaps of pairs not tested before; components of all links found so far."""
+        nonlocal tested, comp
+        new = keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if tested is not None and new.isEmpty():
+            return
+        found = overlaps(new, bag).join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+        found = keep(found, "overlaps")
+        tested = found if tested is None else tested.union(found)
+        older, comp = comp, components(tested.where(F.col("both") >= share * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b"))
+        if older is not None:
+            release(older)
+
+    for level in range(LEVELS + 1):
+        # each band's texts against its centre
+        centre = inside.groupBy("band").agg(F.max(F.struct("mates", "node")).alias("c")).select("band", F.col("c.node").alias("c"))
+        star = inside.where("size > 1").join(centre, "band").where("node != c")
+        test(star.select(*ordered("node", "c")).distinct())
+        named = inside.where("size > 2").select("band", "node", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        open_ = named.groupBy("band").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p != q").select("band")
+        split = keep(named.join(open_, "band").join(centre, "band"), "split")  # bands that still hold several components
         if split.isEmpty():
             break
-        out = split.where("comp != main.comp")
-        if turn < CENTRES:  # texts outside a band's largest component against one of its texts, and all texts of a band against the centre of the others
-            first = out.select(F.col("node").alias("u"), "n", F.col("main.any.node").alias("v"), F.col("main.any.n").alias("m"))
-            others = out.groupBy("band").agg(F.max(F.struct("mates", "node", "n", "comp")).alias("c"))
-            second = split.join(others, "band").where(F.col("comp") != F.col("c.comp")).select(F.col("node").alias("u"), "n", F.col("c.node").alias("v"), F.col("c.n").alias("m"))
-            pairs = near(first.union(second))
-        else:  # what is left: texts outside the largest component against all texts of other components
-            left = out.select("band", F.col("node").alias("u"), "n", F.col("comp").alias("c"))
-            rest = split.select("band", F.col("node").alias("v"), F.col("n").alias("m"), F.col("comp").alias("d"))
-            fits = (F.col("c") != F.col("d")) & (F.least("m", "n") >= F.lit(least) * F.greatest("m", "n"))
-            pairs = near(left.join(rest, "band").where(fits))
-        more = cut(pairs.join(tested, ["a", "b"], "left_anti"), "more")
-        written.append(more)
-        if more.isEmpty():
-            if turn < CENTRES:
-                continue
-            break
-        tested = tested.union(more)
-        found = cut(verified(more, bag, least), "links")
-        written.append(found)
-        if not found.isEmpty():
-            links = links.union(found)
-            older, comp = comp, components(links)
-            release(older)
+        # one cluster for each centre: what its bands hold
+        cluster = split.where("node != c").select("c", "node", "n", "comp", *ordered("node", "c")).distinct().join(tested.select("a", "b", "both"), ["a", "b"])
+        low = split.groupBy("c").agg(F.min("n").alias("low"), F.max(F.when(F.col("node") == F.col("c"), F.col("comp"))).alias("main"))
+        cluster = keep(cluster.join(low, "c").select("c", "node", "n", "comp", "both", "low", "main"), "cluster")
+        if level == LEVELS:  # what is left, in full
+            fits = F.least("m", "n") >= F.lit(least) * F.greatest("m", "n")
+            reach = F.lit(True)
+        else:
+            fits = F.least("o", "both") >= share * (F.col("m") + F.col("n")) - 1e-9
+            reach = F.col("both") >= share * (F.col("n") + F.col("low")) - 1e-9
+        # pairs that what they share with the centre can make similar
+        near = cluster.where(reach)
+        left = near.where("comp != main").select("c", F.col("node").alias("u"), "n", "both", "comp")
+        right = near.select("c", F.col("node").alias("v"), F.col("n").alias("m"), F.col("both").alias("o"), F.col("comp").alias("d"))
+        test(left.join(right, "c").where((F.col("comp") != F.col("d")) & fits).select(*ordered("u", "v")).distinct())
+        if level < LEVELS:  # and bands of what they share beside it
+            inside = crowded(residual_bands(cluster, bag, least).distinct().join(sizes, "node"))
     release(*written)
     label = texts.select("node", "rep", "copies").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     of = label.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))

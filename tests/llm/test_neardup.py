@@ -84,6 +84,20 @@ def test_hot_group_of_near_copies(spark):
     assert len(got) == 800 and {r["class_id"] for r in got} == {0} and {r["class_size"] for r in got} == {800}
 
 
+def test_group_of_copies_with_many_edits(spark):
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(260):  # up to nine edits: some are linked to the base, some to each other only, some to none
+        w = list(base)
+        for _ in range(rng.randrange(10)):
+            w[rng.randrange(120)] = f"x{i}" if rng.random() < 0.6 else f"y{rng.randrange(5)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + 10 * i + j, rows[i][1] + " end" * j) for i in range(0, 260, 9) for j in (1, 2)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {rows[i][0]: c for i, c in brute(rows).items()}
+
+
 def test_edges(spark):
     assert neardup.classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     clash = spark.createDataFrame([(1, "a b c d e f", 9, 8), (1, "a b c d e f", 9, 8), (None, "a b c d e f", 9, 8)], "doc_id long, text string, node int, bands int")
