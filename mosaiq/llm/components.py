@@ -14,7 +14,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     Each step links nodes to the smallest neighbour only, which takes about log n rounds; every round is written to the shared folder.
     Edges and labels stay distributed: the driver reads a count and a checksum of each round.
     """
-    now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     seen = None
     for _ in range(most):
         # large star: neighbours that are larger than u go to the smallest of u and its neighbours

@@ -28,6 +28,8 @@ from .components import components
 K, LEAST, BANDS, ROWS = 5, 0.8, 30, 5
 #: Rounds in which bands of several components are dealt anew by what their texts share beside the centre; what is left then is compared in full.
 LEVELS = 4
+#: Clusters are compared in full at once where that is so many pairs for each of their texts, at most.
+PER_TEXT = 20
 U64 = np.uint64
 GOLD = U64(0x9E3779B97F4A7C15)
 
@@ -236,9 +238,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
         found = overlaps(new, bag).join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
         found = keep(found, "overlaps")
         tested = found if tested is None else tested.union(found)
-        older, comp = comp, components(tested.where(F.col("both") >= share * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b"))
-        if older is not None:
-            release(older)
+        similar = F.col("both") >= share * (F.col("na") + F.col("nb")) - 1e-9
+        if comp is None or not found.where(similar).isEmpty():
+            older, comp = comp, components(tested.where(similar).select("a", "b"))
+            if older is not None:
+                release(older)
 
     for level in range(LEVELS + 1):
         # each band's texts against its centre
@@ -254,7 +258,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
         cluster = split.where("node != c").select("c", "node", "n", "comp", *ordered("node", "c")).distinct().join(tested.select("a", "b", "both"), ["a", "b"])
         low = split.groupBy("c").agg(F.min("n").alias("low"), F.max(F.when(F.col("node") == F.col("c"), F.col("comp"))).alias("main"))
         cluster = keep(cluster.join(low, "c").select("c", "node", "n", "comp", "both", "low", "main"), "cluster")
-        if level == LEVELS:  # what is left, in full
+        work = cluster.groupBy("c").agg(F.count("*").alias("k"), F.count_if(F.col("comp") != F.col("main")).alias("out")).agg(F.sum(F.col("k") * F.col("out")), F.sum("k")).first()
+        last = level == LEVELS or (work[0] or 0) <= PER_TEXT * (work[1] or 0)
+        if last:  # what is left, in full
             fits = F.least("m", "n") >= F.lit(least) * F.greatest("m", "n")
             reach = F.lit(True)
         else:
@@ -265,8 +271,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
         left = near.where("comp != main").select("c", F.col("node").alias("u"), "n", "both", "comp")
         right = near.select("c", F.col("node").alias("v"), F.col("n").alias("m"), F.col("both").alias("o"), F.col("comp").alias("d"))
         test(left.join(right, "c").where((F.col("comp") != F.col("d")) & fits).select(*ordered("u", "v")).distinct())
-        if level < LEVELS:  # and bands of what they share beside it
-            inside = crowded(residual_bands(cluster, bag, least).distinct().join(sizes, "node"))
+        if last:
+            break
+        # and bands of what they share beside it
+        inside = crowded(residual_bands(cluster, bag, least).distinct().join(sizes, "node"))
+        if inside.isEmpty():
+            break
     release(*written)
     label = texts.select("node", "rep", "copies").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     of = label.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
