@@ -27,7 +27,7 @@ from .components import components
 
 K, LEAST, BANDS, ROWS = 5, 0.8, 30, 5
 #: Rounds in which bands of several components are dealt anew by what their texts share beside the centre; what is left then is compared in full.
-LEVELS = 4
+LEVELS = 2
 #: Clusters are compared in full at once where that is so many pairs for each of their texts, at most.
 PER_TEXT = 20
 U64 = np.uint64
