@@ -40,6 +40,14 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
+ANY_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+
+def let(value: Column, body) -> Column:
+    """The body's value for a value that is computed once; a plain expression would be computed anew wherever it is named."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits and of characters beyond ASCII."""
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0))
@@ -84,18 +92,24 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=
     low, high = min(x[3] for x in known), max(x[4] for x in known)
     fixed = F.array(*[F.struct(F.lit(a).alias("license"), F.array(*map(F.lit, g)).alias("t"), F.lit(m).alias("m"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for a, g, m, lo, hi in known])
     t = F.col(f"`{text}`")
-    lines = F.split(t, "\n", -1)
-    # the whole text only where it has few enough words
-    pieces = F.when((F.size(lines) > 1) & (F.regexp_count(F.translate(t, _UPPER, _LOWER), F.lit(WORD)) <= high + 1), F.concat(lines, F.array(t))).otherwise(lines)
+    whole = lambda lines: (F.size(lines) > 1) & (F.regexp_count(t, F.lit(ANY_WORD)) <= high + 1)  # noqa: E731  the whole text only where it has few enough words
+    pieces = let(F.split(t, "\n", -1), lambda lines: F.when(whole(lines), F.concat(lines, F.array(t))).otherwise(lines))
     segments = docs.where(t.isNotNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.explode(pieces).alias("segment"))
-    segments = segments.withColumn("w", words(F.col("segment"))).where((F.size("w") > 0) & F.greatest(F.size("w") - 1, F.lit(1)).between(low, high))
-    grams = segments.select("doc_id", F.greatest(F.size("w") - 1, F.lit(1)).alias("n"), bigrams(F.col("w")).alias("g"))
-    candidates = F.filter(fixed, lambda x: F.col("n").between(x["lo"], x["hi"]))
-    scored = F.transform(candidates, lambda x: F.struct(x["license"].alias("license"), (F.size(F.array_intersect(F.col("g"), x["t"])) * F.lit(2.0) / (F.col("n") + x["m"])).alias("dice")))
-    reached = grams.select("doc_id", F.filter(scored, lambda x: x["dice"] >= least).alias("s")).where(F.size("s") > 0)
-    top = F.array_max(F.transform("s", lambda x: x["dice"]))
-    best = reached.withColumn("top", top).select("doc_id", "top", F.explode(F.array_distinct(F.transform(F.filter("s", lambda x: x["dice"] == F.col("top")), lambda x: x["license"]))).alias("license"))
-    return best.groupBy("doc_id", "license").agg(F.count("*").alias("segments"), F.round(F.max("top"), 6).alias("dice"))
+    none = F.array().cast("array<struct<license:string,dice:double>>")
+
+    def best(g, n):
+        """The licences of the largest coefficient, if it reaches the least."""
+        candidates = F.filter(fixed, lambda x: n.between(x["lo"], x["hi"]))
+        scored = F.transform(candidates, lambda x: F.named_struct(F.lit("license"), x["license"], F.lit("dice"), F.size(F.array_intersect(g, x["t"])) * F.lit(2.0) / (n + x["m"])))
+        top = lambda s: F.array_max(F.transform(s, lambda x: x["dice"]))
+        return let(F.filter(scored, lambda x: x["dice"] >= least), lambda s: let(top(s), lambda m: F.array_distinct(F.filter(s, lambda x: x["dice"] == m))))
+
+    def compared(w):
+        n = F.greatest(F.size(w) - 1, F.lit(1))
+        return F.when((F.size(w) > 0) & n.between(low, high), let(bigrams(w), lambda g: best(g, n))).otherwise(none)
+
+    found = segments.select("doc_id", F.explode(let(words(F.col("segment")), compared)).alias("x"))
+    return found.groupBy("doc_id", F.col("x.license").alias("license")).agg(F.count("*").alias("segments"), F.round(F.max("x.dice"), 6).alias("dice"))
 
 
 def sql(templates=TEMPLATES, least: float = LEAST) -> str:
