@@ -28,7 +28,7 @@ from .components import components
 K, LEAST, BANDS, ROWS = 5, 0.8, 30, 5
 #: Rounds in which bands of several components are dealt anew by what their texts share beside the centre; what is left then is compared in full.
 LEVELS = 2
-#: Clusters are compared in full at once where that is so many pairs for each of their texts, at most.
+#: Bands are compared in full at once where that is so many pairs for each of their texts, at most.
 PER_TEXT = 20
 U64 = np.uint64
 GOLD = U64(0x9E3779B97F4A7C15)
@@ -250,29 +250,27 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
         star = inside.where("size > 1").join(centre, "band").where("node != c")
         test(star.select(*ordered("node", "c")).distinct())
         named = inside.where("size > 2").select("band", "node", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = named.groupBy("band").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p != q").select("band")
+        open_ = named.groupBy("band").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p != q").select("band", "p")
         split = keep(named.join(open_, "band").join(centre, "band"), "split")  # bands that still hold several components
         if split.isEmpty():
             break
+        work = split.groupBy("band").agg(F.count("*").alias("k"), F.count_if(F.col("comp") != F.col("p")).alias("out")).agg(F.sum(F.col("k") * F.col("out")), F.sum("k")).first()
+        if level == LEVELS or work[0] <= PER_TEXT * work[1]:  # what is left, in full
+            left = split.where("comp != p").select("band", F.col("node").alias("u"), "n", "comp")
+            right = split.select("band", F.col("node").alias("v"), F.col("n").alias("m"), F.col("comp").alias("d"))
+            fits = F.least("m", "n") >= F.lit(least) * F.greatest("m", "n")
+            test(left.join(right, "band").where((F.col("comp") != F.col("d")) & fits).select(*ordered("u", "v")).distinct())
+            break
         # one cluster for each centre: what its bands hold
         cluster = split.where("node != c").select("c", "node", "n", "comp", *ordered("node", "c")).distinct().join(tested.select("a", "b", "both"), ["a", "b"])
         low = split.groupBy("c").agg(F.min("n").alias("low"), F.max(F.when(F.col("node") == F.col("c"), F.col("comp"))).alias("main"))
         cluster = keep(cluster.join(low, "c").select("c", "node", "n", "comp", "both", "low", "main"), "cluster")
-        work = cluster.groupBy("c").agg(F.count("*").alias("k"), F.count_if(F.col("comp") != F.col("main")).alias("out")).agg(F.sum(F.col("k") * F.col("out")), F.sum("k")).first()
-        last = level == LEVELS or (work[0] or 0) <= PER_TEXT * (work[1] or 0)
-        if last:  # what is left, in full
-            fits = F.least("m", "n") >= F.lit(least) * F.greatest("m", "n")
-            reach = F.lit(True)
-        else:
-            fits = F.least("o", "both") >= share * (F.col("m") + F.col("n")) - 1e-9
-            reach = F.col("both") >= share * (F.col("n") + F.col("low")) - 1e-9
         # pairs that what they share with the centre can make similar
-        near = cluster.where(reach)
+        near = cluster.where(F.col("both") >= share * (F.col("n") + F.col("low")) - 1e-9)
         left = near.where("comp != main").select("c", F.col("node").alias("u"), "n", "both", "comp")
         right = near.select("c", F.col("node").alias("v"), F.col("n").alias("m"), F.col("both").alias("o"), F.col("comp").alias("d"))
+        fits = F.least("o", "both") >= share * (F.col("m") + F.col("n")) - 1e-9
         test(left.join(right, "c").where((F.col("comp") != F.col("d")) & fits).select(*ordered("u", "v")).distinct())
-        if last:
-            break
         # and bands of what they share beside it
         inside = crowded(residual_bands(cluster, bag, least).distinct().join(sizes, "node"))
         if inside.isEmpty():
