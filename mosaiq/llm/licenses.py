@@ -1,11 +1,13 @@
-"""Licence scan: lines and whole texts compared to licence templates by the Dice coefficient over word bigrams.
+"""Licence scan: lines, whole texts and windows of words compared to licence templates by the Dice coefficient over word bigrams.
 
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, floor
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("proprietary", "All rights reserved."),
 )
 LEAST = 0.8
+#: A word that no template holds, and the fields of a window: its first and last word, and its coefficient with a minus, to sort by.
+WALL, SPAN = "\u00b6", "o:double,i:int,j:int,license:string"
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,7 +83,52 @@ def bounds(m: int, least: float) -> tuple[int, int]:
     return max(1, ceil(m * least / (2 - least) - 1e-9)), floor(m * (2 - least) / least + 1e-9)
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, least: float = LEAST) -> DataFrame:
+def key_words(templates, least: float) -> list[str]:
+    """Words of which a text must hold one, or no window of it reaches the least coefficient with any template."""
+    keys: set[str] = set()
+    for _, grams, m in shapes(templates):
+        while True:
+            left = [g for g in grams if not keys & set(g.split())]
+            if 2 * len(left) < least * (max(bounds(m, least)[0], len(left)) + m) - 1e-9:
+                break
+            keys.add(max({w for g in left for w in g.split()}, key=lambda w: (len(w), w)))
+    return sorted(keys)
+
+
+def spans(g: Column, fixed: Column, vocabulary: Column, least: float) -> Column:
+    """Windows over a list of bigrams that reach the least coefficient and share no word: (o, i, j, license), with o the negative coefficient.
+
+    A window that begins or ends with a bigram the template lacks is worse than the one without it, so windows run from one shared bigram
+    to another. Of those that overlap the best stays, then the first; equal ones of several licences stay together.
+    """
+
+    def of(x, hits):
+        at = lambda a, k: F.slice(hits, k + 1, x["hi"])  # noqa: E731  no window holds more shared bigrams than that
+
+        def starting(a, k):
+            def ending(b, e):
+                n = b["i"] - a["i"] + 1
+                shared = F.size(F.array_distinct(F.transform(F.slice(hits, k + 1, e + 1), lambda c: c["g"])))
+                return F.struct((shared * F.lit(-2.0) / (n + x["m"])).alias("o"), a["i"].alias("i"), (b["i"] + 1).alias("j"), x["license"].alias("license"), n.between(x["lo"], x["hi"]).alias("fits"))
+
+            return F.filter(F.transform(at(a, k), ending), lambda y: y["fits"] & (y["o"] <= -least))
+
+        enough = F.size(hits) * 2 >= (x["m"] + x["lo"]) * F.lit(least) - 1e-9
+        return F.when(enough, F.flatten(F.transform(hits, starting))).otherwise(F.array().cast(f"array<struct<{SPAN},fits:boolean>>"))
+
+    def apart(found):
+        clash = lambda taken, y: F.exists(taken, lambda z: (z["i"] <= y["j"]) & (y["i"] <= z["j"]) & ~((z["i"] == y["i"]) & (z["j"] == y["j"]) & (z["o"] == y["o"]) & (z["license"] != y["license"])))
+        bare = F.transform(F.array_sort(found), lambda y: F.struct(y["o"], y["i"], y["j"], y["license"]).cast(f"struct<{SPAN}>"))
+        return F.aggregate(bare, F.array().cast(f"array<struct<{SPAN}>>"), lambda taken, y: F.when(clash(taken, y), taken).otherwise(F.concat(taken, F.array(y))))
+
+    def hit(present):
+        placed = F.filter(F.transform(g, lambda x, i: F.struct(i.alias("i"), x.alias("g"))), lambda h: F.array_contains(present, h["g"]))
+        return let(placed, lambda hits: apart(F.flatten(F.transform(fixed, lambda x: let(F.filter(hits, lambda h: F.array_contains(x["t"], h["g"])), lambda own: of(x, own))))))
+
+    return let(F.array_intersect(g, vocabulary), hit)
+
+
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, least: float = LEAST, windows: bool = False) -> DataFrame:
     """(doc_id, license, segments, dice): licences found in each document, with the number of matching segments and the best coefficient.
 
     Segments are the lines of a text, and the whole text where it has several lines. The coefficient is twice the number of shared
@@ -87,6 +136,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=
     that no template's bounds hold is passed over before its bigrams are made. A segment counts for the licence of the largest
     coefficient, with ties for each such licence. A null or empty text has no segment; a text of any length is read whole; repeated rows
     of a doc_id add up; rows with a null doc_id are reported under null; an empty table gives no rows; other columns are ignored.
+
+    With ``windows``, every window of words that a template's bounds hold is a segment too, across line breaks and inside longer lines,
+    unless it shares words with a segment that counts or with a better window.
     """
     known = [(name, grams, m, *bounds(m, least)) for name, grams, m in shapes(templates)]
     low, high = min(x[3] for x in known), max(x[4] for x in known)
@@ -109,6 +161,16 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=
         return F.when((F.size(w) > 0) & n.between(low, high), let(bigrams(w), lambda g: best(g, n))).otherwise(none)
 
     found = segments.select("doc_id", F.explode(let(words(F.col("segment")), compared)).alias("x"))
+    if windows:
+        likely = let(F.translate(t, _UPPER, _LOWER), lambda folded: reduce(or_, (F.contains(folded, F.lit(k)) for k in key_words(templates, least))))
+        wall = F.lit(f" {WALL}" * (high + 2))  # no window reaches across a line that counts
+        matched = lambda piece: F.size(let(words(piece), compared)) > 0
+        open_ = let(F.split(t, "\n", -1), lambda lines: F.when(whole(lines) & matched(t), F.lit("")).otherwise(F.array_join(F.transform(lines, lambda x: F.when(matched(x), wall).otherwise(x)), "\n")))
+        vocabulary = F.array(*map(F.lit, sorted({g for _, grams, *_ in known for g in grams})))
+        pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        inside = let(let(words(open_), pairs), lambda g: spans(g, fixed, vocabulary, least))
+        more = docs.where(t.isNotNull() & likely).select(F.col(f"`{doc_id}`").alias("doc_id"), F.explode(inside).alias("x"))
+        found = found.unionAll(more.select("doc_id", F.struct(F.col("x.license").alias("license"), (-F.col("x.o")).alias("dice")).alias("x")))
     return found.groupBy("doc_id", F.col("x.license").alias("license")).agg(F.count("*").alias("segments"), F.round(F.max("x.dice"), 6).alias("dice"))
 
 

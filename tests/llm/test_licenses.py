@@ -59,3 +59,25 @@ def test_bounds_keep_all_that_can_reach():
 
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_windows_inside_and_across_lines(spark):
+    wrapped = "# This program is free software: you can redistribute it and/or\n# modify it under the terms of the GNU General Public License as\n# published by the Free Software Foundation, either version 3 of the\n# License, or (at your option) any later version.\n"
+    rows = [
+        (1, "code before\n" * 60 + wrapped + "code after\n" * 60),
+        (2, "This file is part of Foo and is licensed under the Apache License, Version 2.0."),
+        (3, "A line.\nThis work is licensed under the GNU General Public License, version 3.\nAnother line " + "of words " * 60),
+        (4, "Under the stars they read a license, then the free software terms, all of it, with rights."),
+        (5, "Both: released under the MIT License. " + "x " * 60 + "Here all rights reserved; released under the MIT License, too."),
+        (6, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]): (r["segments"], r["dice"]) for r in licenses.scan(df, windows=True).collect()}
+    assert got == {(1, "GPL-3.0"): (1, 0.95122), (2, "Apache-2.0"): (1, 1.0), (3, "GPL-3.0"): (1, 1.0), (5, "MIT"): (2, 1.0), (5, "proprietary"): (1, 1.0)}
+
+
+def test_key_words_lose_no_window():
+    keys = licenses.key_words(licenses.TEMPLATES, licenses.LEAST)
+    for _, grams, m in licenses.shapes(licenses.TEMPLATES):
+        left = sum(not set(keys) & set(g.split()) for g in grams)
+        assert all(2 * min(left, n) / (n + m) < licenses.LEAST for n in range(1, 4 * m))
