@@ -4,8 +4,9 @@ Base spans come from four patterns. An entity is a matched value; its contexts
 are the lines that hold it. From the corpus' counts of lines, a term's pointwise
 mutual information with an entity, as a share of the entity's information, says
 how much of the entity the term discloses (1: the term stands only beside it).
-Terms that reach the threshold in several different surroundings are removed
-(full disclosure) or generalised (less) wherever they stand.
+Terms that reach the threshold in several different documents, more of them than
+chance explains, are removed (full disclosure) or generalised (less) wherever
+they stand.
 
 DataFrame functions only.
 """
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -27,11 +28,13 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A term discloses an entity from this share on, and is removed from the second; it must stand in so many different surroundings.
+#: A term discloses an entity from this share on, and is removed from the second; it must stand beside it in so many lines of different texts.
 DISCLOSE, REMOVE, SUPPORT = 0.9, 0.98, 3
+#: The expected number of pairs of entity and term, of all that are tested, that chance alone brings together so often.
+CHANCE = 0.01
 #: Rows of a table of terms that is broadcast, at most; larger ones are joined by a shuffle.
 FEW = 100_000
-TERM = "\\p{L}{4,}"
+TERM = "\\p{L}+"
 SPAN = "array<struct<start:bigint,k:int,end:bigint,value:string>>"
 
 
@@ -115,22 +118,23 @@ def _small(df: DataFrame) -> DataFrame:
 def disclosing(docs: DataFrame, text: str = "text", disclose: float = DISCLOSE, support: int = SUPPORT) -> DataFrame:
     """(term, share): terms that disclose some entity, with the largest share."""
     t = F.col(f"`{text}`").cast("string")
-    lines = docs.select(t.alias("t")).where("t is not null").select(F.explode(F.split("t", "\n", -1)).alias("line"))
+    lines = docs.select(t.alias("t")).where("t is not null").select(F.xxhash64("t").alias("h"), F.explode(F.split("t", "\n", -1)).alias("line"))
     spans = base_spans(F.col("line"))
-    # equal lines once, with their number: copies add to the counts, not to the surroundings
-    held = lines.where(F.col("line").rlike("[0-9@]")).groupBy("line").agg(F.count("*").alias("n")).withColumn("spans", spans).where(F.size("spans") > 0)
-    held = held.select("n", F.array_distinct(F.transform("spans", entity)).alias("es"), _terms(F.col("line")).alias("w"))
+    # equal lines once, with their number and that of different texts: copies of a text add to the counts, not to the support
+    held = lines.where(F.col("line").rlike("[0-9@]")).groupBy("line", "h").agg(F.count("*").alias("n")).groupBy("line").agg(F.sum("n").alias("n"), F.count("*").alias("d"))
+    held = held.withColumn("spans", spans).where(F.size("spans") > 0)
+    held = held.select("n", "d", F.array_distinct(F.transform("spans", entity)).alias("es"), _terms(F.col("line")).alias("w"))
     held = cut(held, "contexts")
-    w = F.col("w")
-    around = F.transform(w, lambda x, i: F.named_struct(F.lit("term"), x, F.lit("near"), F.xxhash64(F.get(w, i - 1), F.get(w, i + 1))))
-    beside = held.select("n", F.explode("es").alias("e"), F.filter(around, lambda x: F.length(x["term"]) >= 4).alias("a"))
-    wide = beside.select("n", "e", F.explode("a").alias("x")).select("e", F.col("x.term").alias("term"), F.col("x.near").alias("near"))
-    strong = wide.groupBy("e", "term", "near").agg(F.count("*").alias("k")).groupBy("e", "term").agg(F.count("*").alias("places")).where(F.col("places") >= support)
+    beside = held.select("n", "d", F.explode("es").alias("e"), F.array_distinct("w").alias("a"))
+    strong = beside.select("d", "e", F.explode("a").alias("term")).groupBy("e", "term").agg(F.sum("d").alias("places"))
+    tested = Observation()
+    strong = strong.observe(tested, F.count("*").alias("n")).where(F.col("places") >= support)
     strong = cut(strong, "strong")
+    pairs = max(1, tested.get["n"])
     if strong.isEmpty():
         return strong.select("term", F.lit(0.0).alias("share"))
-    both = beside.select("n", "e", F.explode(F.array_distinct(F.transform("a", lambda x: x["term"]))).alias("term")).join(_small(strong.select("e", "term")), ["e", "term"])
-    both = both.groupBy("e", "term").agg(F.sum("n").alias("c_et"))
+    both = beside.select("n", "e", F.explode("a").alias("term")).join(_small(strong), ["e", "term"])
+    both = both.groupBy("e", "term").agg(F.sum("n").alias("c_et"), F.first("places").alias("places"))
     entities = held.select("n", F.explode("es").alias("e")).groupBy("e").agg(F.sum("n").alias("c_e"))
     known = cut(strong.select("term").distinct(), "candidates")
     words = lines.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
@@ -143,7 +147,11 @@ def disclosing(docs: DataFrame, text: str = "text", disclose: float = DISCLOSE,
     bits = log(total)
     share = (F.log(F.col("c_et")) + bits - F.log(F.col("c_e")) - F.log(F.greatest("c_t", "c_et"))) / (bits - F.log(F.col("c_e")))
     got = both.join(entities, "e").join(c_t, "term").where(F.col("c_e") < total).withColumn("share", share)
-    return got.where(F.col("share") >= disclose).groupBy("term").agg(F.max("share").alias("share"))
+    # the Poisson tail at the number of different places is at most exp(-bound)
+    by_chance = F.col("c_e") * F.greatest("c_t", "c_et") / total
+    bound = F.col("places") * F.log(F.col("places") / by_chance) - F.col("places") + by_chance
+    sure = (F.col("places") > by_chance) & (bound >= log(pairs / CHANCE))
+    return got.where((F.col("share") >= disclose) & sure).groupBy("term").agg(F.max("share").alias("share"))
 
 
 def find(docs: DataFrame, keep: list[str], text: str = "text", disclose: float = DISCLOSE, support: int = SUPPORT) -> DataFrame:

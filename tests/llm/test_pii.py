@@ -82,3 +82,16 @@ def test_overlapping_spans_become_one(spark):
 
 def test_empty_table(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).collect() == []
+
+
+def test_signatures_and_short_names(spark):
+    rng = random.Random(4)
+    vocab = [f"{a}{b}{c}" for a in "abcdefgh" for b in "aeiou" for c in "klmnr"]
+    say = lambda: " ".join(rng.choice(vocab) for _ in range(8))
+    rows = [(i, "\n".join(say() for _ in range(5))) for i in range(400)]
+    rows += [(1000 + i, f"{say()}\nContact Annegret Xu, +49 30 1234 5678\n{say()}") for i in range(20)]  # one line in different texts
+    rows += [(2000 + i, "a page about zebrafish by eve@copy.example.com") for i in range(50)]  # copies of one text
+    rows += [(3000, "Only Annegret and Xu wrote of zebrafish"), (3001, None)]
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).select("row.doc_id", "text", "terms").collect()
+    terms = {r["text"][s["start"] : s["end"]].lower() for r in got for s in r["terms"]}
+    assert terms == {"contact", "annegret", "xu"}
