@@ -4,9 +4,12 @@ A page is read into text nodes with their root-to-leaf tag paths. For each path
 text length and punctuation are summed and divided by the number of nodes; the
 ratios are smoothed over neighbouring nodes in page order, fused by their
 product, and paths above the threshold are content. The deepest element that
-holds all content paths (the article, or the body) is the content root; every
-block under it that isn't boilerplate by its tag or name belongs to the text, so
-that a short paragraph or heading isn't lost because its own ratio is low.
+holds all content paths (the article, or the body) is the content root. An
+article or main element is text as a whole, but for its boilerplate. Blocks
+under any other root that are on a content path belong to the text, and of the others that aren't
+boilerplate by their tag or name those that lie between such blocks, and headings
+right before one, so that a short paragraph or heading isn't lost because its own
+ratio is low.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ BOILER_WORDS = frozenset(
 )
 #: Names that mark an article element as something beside the main one.
 ASIDE_WORDS = frozenset("ad ads advert comment comments promo related reply sponsored teaser".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -170,21 +174,43 @@ def content_root(found: list[Node], paths: set[str]) -> Element | None:
     return max(((s, e) for s, e in held.values() if s == total), key=lambda x: x[1].depth)[1]
 
 
+def enclosing(at: Element) -> Element:
+    """The nearest block that holds an element, or is it."""
+    while at.parent is not None and at.tag not in BLOCK:
+        at = at.parent
+    return at
+
+
 def extract(source: str | None) -> str:
     """The main text: its blocks in page order, one line each."""
     found = nodes(source or "")
-    root = content_root(found, content_paths(found))
+    paths = content_paths(found)
+    root = content_root(found, paths)
     if root is None:
         return ""
-    blocks: dict[int, list[str]] = {}
+    blocks: dict[int, list[Node]] = {}
     for n in found:
         up = n.at
         while up is not None and up is not root:
             up = up.parent
         if up is root and not n.at.boiler:
-            blocks.setdefault(n.block, []).append(n.text)
-    lines = (" ".join(entities.unescape("".join(parts)).split()) for _, parts in sorted(blocks.items()))
-    return "\n".join(x for x in lines if x)
+            blocks.setdefault(n.block, []).append(n)
+    lines, accepted, heading = [], [], []
+    for _, held in sorted(blocks.items()):
+        line = " ".join(entities.unescape("".join(n.text for n in held)).split())
+        if line:
+            own = [n for n in held if n.text.strip()]
+            lines.append(line)
+            accepted.append(any(n.at.path in paths or enclosing(n.at).path in paths for n in own))
+            heading.append(all(enclosing(n.at).tag in HEADINGS for n in own))
+    if root.tag in ("article", "main"):
+        return "\n".join(lines)
+    if not any(accepted):
+        return ""
+    first, last = accepted.index(True), len(accepted) - accepted[::-1].index(True)
+    while first and heading[first - 1]:
+        first -= 1
+    return "\n".join(lines[first:last])
 
 
 def extract_batch(column: pa.Array) -> dict[str, object]:

@@ -36,3 +36,11 @@ def test_long_and_deep_pages():
 
 def test_short_blocks_beside_long_ones_stay():
     assert extract("<article><h1>T</h1>" + "<p>" + "long, text. " * 200 + "</p><p>No.</p></article>").split("\n")[-1] == "No."
+
+
+def test_rejected_paths_beside_the_text_go():
+    long = ("A long paragraph, with commas, and several clauses; it goes on, and on, for a good while. " * 4).strip()
+    menu = "<ul><li><a>Home</a></li><li><a>About</a></li></ul>"
+    assert extract(f"<body>{menu}<h1>T</h1><p>{long}</p><p>{long}</p><div>links</div></body>").split("\n") == ["T", long, long]
+    after = "<ul><li><a>links</a></li><li><a>more</a></li><li><a>last</a></li></ul>"
+    assert extract(f"<body>{menu}<h1>T</h1><p>{long}</p><h2>short</h2><p>{long}</p><p>{long}</p>{after}</body>").split("\n") == ["T", long, "short", long, long]
