@@ -48,7 +48,7 @@ def judge_sidecar(scores: DataFrame, path: str, model: str, mode: str) -> None:
 
 
 def markdown_table(df: DataFrame, columns: list[str], order: list[str]) -> str:
-    """K-06: a Markdown table of a small report: the first column to the left, the others to the right."""
+    """K-06: a Markdown table of a report, with all its rows: the first column to the left, the others to the right."""
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |"))
-    rows = [r["line"] for r in df.orderBy(*order).select(line.alias("line")).limit(1000).collect()]  # a report that people read
+    rows = [r["line"] for r in df.orderBy(*order).select(line.alias("line")).toLocalIterator()]  # all rows, a partition at a time
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + "|".join([":--", *["--:"] * (len(columns) - 1)]) + "|", *rows])

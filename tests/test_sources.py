@@ -84,3 +84,8 @@ def test_result_stream(spark, tmp_path):
     rows = spark.table("seen").withColumn("ts", F.col("ts").cast("timestamp"))
     got = results.accuracy_stream(rows).first()
     assert (got["n_correct"], got["n"], got["acc"]) == (1, 2, 0.5)
+
+
+def test_markdown_table_holds_all_rows(spark):
+    got = writers.markdown_table(spark.range(1500).selectExpr("id", "id * 2 AS x"), ["id", "x"], ["id"]).split("\n")
+    assert got[2:] == [f"| {i} | {2 * i} |" for i in range(1500)]
