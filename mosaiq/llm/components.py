@@ -28,7 +28,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         before, now = now, cut(small.where("u != v").distinct(), "edges")
         release(before, large)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == tuple(state):
+        if not state[0] or seen == tuple(state):
             break
         seen = tuple(state)
     else:

@@ -13,7 +13,9 @@ multiset overlap of their shingles decides.
 
 from __future__ import annotations
 
-from math import ceil
+from fractions import Fraction
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,10 @@ from .common import cut, map_text, node_filter, release
 from .components import components
 
 K, LEAST, BANDS, ROWS = 5, 0.8, 30, 5
-#: Rounds in which bands of several components are dealt anew by what their texts share beside the centre; what is left then is compared in full.
-LEVELS = 2
-#: Bands are compared in full at once where that is so many pairs for each of their texts, at most.
-PER_TEXT = 20
+#: Bits of a parity sketch.
+SKETCH = 1024
+#: The column that tells rows apart in unique().
+KEY = "_row_digest"
 U64 = np.uint64
 GOLD = U64(0x9E3779B97F4A7C15)
 
@@ -40,7 +42,7 @@ OUT = T.StructType(
         T.StructField("bands", T.ArrayType(T.LongType())),
     ]
 )
-BAG = "node bigint, rep bigint, bag binary"
+BAG = "node bigint, rep bigint, bag binary, sketch array<bigint>"
 #: Bits of the filter that picks texts whose bags are made.
 FILTER_BITS = 25
 
@@ -119,7 +121,7 @@ def sign(column: pa.Array, k: int = K, bands: int = BANDS, rows: int = ROWS) ->
 
 
 def bags_of(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, rep, bag) of the documents whose node the filter holds: at least those of ``nodes``, and by chance some others."""
+    """(node, rep, bag, sketch) of the documents whose node the filter holds: at least those of ``nodes``, and by chance some others."""
     held = docs.sparkSession.sparkContext.broadcast(node_filter(nodes, FILTER_BITS))
 
     def make(batches):
@@ -135,14 +137,21 @@ def bags_of(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame, k: int) -
                 words = np.concatenate([h[off[r] : off[r + 1]] for r in pick])
                 g, go = textkit.grams(words, np.concatenate([[0], np.cumsum(size)]), k)
                 each = bags(g, go)[3]
-                bag = [np.sort(each[go[r] : go[r + 1]]).tobytes() for r in range(len(pick))]
+                sorted_ = [np.sort(each[go[r] : go[r + 1]]) for r in range(len(pick))]
                 ids = batch.column("rep").take(pa.array(i + pick))
-                yield pa.RecordBatch.from_arrays([pa.array(node[pick].astype(np.int64)), ids, pa.array(bag, pa.binary())], ["node", "rep", "bag"])
+                columns = [pa.array(node[pick].astype(np.int64)), ids, pa.array([x.tobytes() for x in sorted_], pa.binary()), pa.array([odd_sketch(x) for x in sorted_], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "rep", "bag", "sketch"])
 
     given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("rep"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
     return given.mapInArrow(make, BAG)
 
 
+def odd_sketch(keys: np.ndarray) -> np.ndarray:
+    """Parities of a set in SKETCH buckets. Two sketches differ in no more bits than their sets differ in elements."""
+    bits = np.bincount((keys >> U64(11)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def shared(x: np.ndarray, y: np.ndarray) -> int:
     """Overlap of two bags: sorted keys, each once."""
     at = np.searchsorted(y, x)
@@ -150,134 +159,160 @@ def shared(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum()) if len(y) else 0
 
 
-def overlaps(pairs: DataFrame, bag: DataFrame) -> DataFrame:
-    """(a, b, both): the overlap of the bags of each pair."""
-    wide = pairs.select("a", "b").join(bag.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a").join(bag.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b")
-
-    def count(batches):
-        for batch in batches:
-            both = [shared(np.frombuffer(x, U64), np.frombuffer(y, U64)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64())], ["a", "b", "both"])
-
-    return wide.select("a", "b", "x", "y").mapInArrow(count, "a bigint, b bigint, both bigint")
-
+def edit_keys(bag: np.ndarray, centre: np.ndarray, p: int, q: int) -> tuple[bool, int, int, np.ndarray, np.ndarray]:
+    """Whether a bag is similar to the centre, what it adds and lacks (counts), and the first keys of each that any partner must meet.
 
-def residual_bands(cluster: DataFrame, bag: DataFrame, least: float) -> DataFrame:
-    """(band, node): bands of shingles that texts of a cluster have beside its centre.
-
-    cluster: (c, node, n, both, low), with the overlap with the centre and the smallest n of the cluster. Two texts of similarity t share
-    t/(1+t) of their shingles together; what the centre's overlaps can't give of that must be shared beside it. So the first keys of
-    what a text has beside the centre, all but the number it must share, meet those of any partner.
+    Let A be what u adds to the centre c, D what it lacks, e = |A| + |D|. Texts u and v are similar if they differ in at most
+    d(u, v) = p/q (n(u) + n(v)) shingles. They differ in e(u) + e(v) less twice the edits they share, so they must share
+    (e(u) + e(v) - d(u, v)) / 2 edits. If one of them isn't similar to c, that is more than (e(u) + p/q (n(c) - n(u))) / 2 and
+    at least (e(v) - d(v, c)) / 2: more than 0, so similar texts share an edit, always. Of the shared edits, those in D are no more than
+    either text lacks; the rest must be in A. Without any shared addition all shared edits are in D, of which u then lacks as many,
+    hence at least (e(v) - d(v, c)) / (1 - p/q). Prefixes of both lists, in one order, that leave out one element less than must be
+    shared have an element in common.
     """
-    wide = cluster.join(bag, "node").join(bag.select(F.col("node").alias("c"), F.col("bag").alias("y")), "c")
-    share = least / (1 + least)
-
-    def emit(batches):
+    added = np.setdiff1d(bag, centre, assume_unique=True)
+    lacked = np.setdiff1d(centre, bag, assume_unique=True)
+    a, d, n, c = len(added), len(lacked), len(bag), len(centre)
+    beyond = q * (a + d) - p * (n + c)
+    if beyond <= 0:
+        least = alone = (q * (a + d) + p * (c - n)) // (2 * q) + 1
+    else:
+        least = -(-beyond // (2 * q))
+        alone = max(least, -(-beyond // (q - p)))
+    return beyond <= 0, a, d, added[: max(0, a - max(1, least - d) + 1)], lacked[: max(0, d - alone + 1)]
+
+
+def stars(pairs: DataFrame, bag: DataFrame, p: int, q: int) -> DataFrame:
+    """For each pair (node, c): similar or not, n and nc, and, where it is wanted (``wide``), the edits' counts and keys."""
+    of = lambda name, as_: bag.select(F.col("node").alias(name), F.col("bag").alias(as_))
+    joined = pairs.join(of("node", "x"), "node").join(of("c", "y"), "c")
+
+    def test(batches):
         for batch in batches:
-            centres, nodes, n, both, low = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("c", "node", "n", "both", "low"))
-            names, ids = [], []
-            for r, (x, y) in enumerate(zip(batch.column("bag").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-                rest = np.setdiff1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True)
-                need = max(1, ceil(share * (int(n[r]) + int(low[r])) - 1e-9) - int(both[r]))
-                first = rest[: max(0, len(rest) - need + 1)]
-                names.append(textkit.mix(first ^ textkit.mix(centres[r : r + 1].astype(np.int64).astype(U64))).astype(np.int64))
-                ids.append(np.full(len(first), nodes[r]))
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(ids).astype(np.int64))], ["band", "node"])
-
-    return wide.select("c", "node", "n", "both", "low", "bag", "y").mapInArrow(emit, "band bigint, node bigint")
-
-
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row (doc_id, class_id, class_size) per document; class_id is the smallest doc_id of all documents linked directly or through others.
-
-    Texts with equal words are one text from the start (a partial aggregate, so thousands of copies cost no more than one). In each band
-    all texts are checked against the one with most band mates, the likely centre of its near copies. In bands that keep several components
-    two texts can still be similar by what both share with the centre, which their overlaps with it bound, or else must share some shingle
-    beside the centre: such shingles make the bands of the next round. So no link that a band offers between components is lost, and a
-    band of near copies isn't expanded into all pairs. A text of 1 to 4
-    words is one shingle. Documents without words (null and empty texts too) are classes of their own, by doc_id; rows with a null doc_id
-    get the class of their text. Repeated rows stay repeated. An empty table gives no rows; other columns are ignored.
+            rows = []
+            centres = batch.column("c").to_numpy()
+            for r, (x, y, wide) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("wide").to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                if wide:
+                    near, a, d, added, lacked = edit_keys(x, y, p, q)
+                    salt = textkit.mix(centres[r : r + 1].astype(U64))
+                    rows.append((near, a, d, textkit.mix(added ^ salt).astype(np.int64), textkit.mix(lacked ^ ~salt).astype(np.int64)))
+                else:
+                    rows.append((q * (len(x) + len(y) - 2 * shared(x, y)) <= p * (len(x) + len(y)), 0, 0, None, None))
+            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            made = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(x) for x in ("node", "c", "n", "nc")] + made, ["node", "c", "n", "nc", "near", "added", "lacked", "akeys", "dkeys"])
+
+    schema = "node bigint, c bigint, n bigint, nc bigint, near boolean, added bigint, lacked bigint, akeys array<bigint>, dkeys array<bigint>"
+    return joined.select("node", "c", "n", "nc", "wide", "x", "y").mapInArrow(test, schema)
+
+
+def edit_pairs(cluster: DataFrame, star: DataFrame, bag: DataFrame, p: int, q: int, keep) -> DataFrame:
+    """(node, c): pairs of texts in different components of one cluster that can be similar, by the keys of edit_keys().
+
+    cluster: (c, node, comp), the texts of bands around the centre c that hold several components.
     """
+    rows = cluster.join(star.drop("nc"), ["c", "node"])
+    of = lambda name, kind, count: F.transform(name, lambda x, i: F.struct(x.alias("k"), (F.col(count) - i).alias("rest"), F.lit(kind).alias("kind")))
+    rows = rows.select("c", "node", "comp", "n", "near", "added", "lacked", F.explode(F.concat(of("akeys", 0, "added"), of("dkeys", 1, "lacked"))).alias("e"))
+    rows = keep(rows.select("node", "comp", "n", "near", "added", "lacked", "e.*"), "edits")
+    met = rows.groupBy("k").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("near").alias("all")).where("x != y and not all").select("k")
+    rows = keep(rows.join(met, "k").join(bag.select("node", "sketch"), "node"), "met")
+    u = rows.where("not near").alias("u")
+    v = rows.select(*[F.col(x).alias(f"{x}2") for x in rows.columns]).alias("v")
+    once = F.col("near2") | (F.col("node") < F.col("node2"))  # pairs that are both far from the centre meet twice
+    total = F.col("n") + F.col("n2")
+    need = F.lit(q) * (F.col("added") + F.col("lacked") + F.col("added2") + F.col("lacked2")) - F.lit(p) * total
+    most = F.least("rest", "rest2") + F.when(F.col("kind") == 0, F.least("lacked", "lacked2")).otherwise(0)  # edits from this one on, in order
+    apart = reduce(add, [F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(SKETCH // 64)])
+    fits = once & (F.col("comp") != F.col("comp2")) & (2 * q * most >= need) & (apart * q <= p * total)
+    return u.join(v, (F.col("k") == F.col("k2")) & fits).select("node", F.col("node2").alias("c"), "n", F.col("n2").alias("nc")).distinct()
+
+
+def _linked(docs: DataFrame, doc_id: str, text: str, row: list[str], k: int, least: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The signed documents (row, doc_id, node, n), and (node, comp) of every text with words that is linked to others."""
 
     def make():
         return lambda column: sign(column, k, bands, rows)
 
-    signed = cut(map_text(docs, text, [doc_id], OUT, make).select(F.col(f"row.`{doc_id}`").alias("doc_id"), "out.*"), "signed")
-    full = signed.where("n > 0")
-    texts = cut(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
-    member = texts.select("node", "n", F.explode("bands").alias("band"))
-    written = []
+    t = Fraction(str(least))
+    p, q = ((1 - t) / (1 + t)).as_integer_ratio()
+    signed = cut(map_text(docs, text, [doc_id, *row], OUT, make).select(F.col(f"row.`{doc_id}`").alias("doc_id"), *[F.col(f"row.`{c}`") for c in row], "out.*"), "signed")
+    # texts with equal words are one text from here on
+    texts = cut(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
+    written = [texts]
 
     def keep(df, name):
         written.append(cut(df, name))
         return written[-1]
 
-    def crowded(member):
-        """Members of bands of several texts, with the number of band mates each has: the centre of a group of near copies has most."""
-        bucket = member.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-        inside = keep(member.join(bucket, "band"), "inside")
-        return keep(inside.join(inside.groupBy("node").agg(F.sum("size").alias("mates")), "node"), "inside")
-
-    share = least / (1 + least)
-    ordered = lambda u, v: (F.least(u, v).alias("a"), F.greatest(u, v).alias("b"))
-    inside = crowded(member)
+    member = texts.select("node", "n", F.explode("bands").alias("band"))
+    inside = keep(member.join(member.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "band"), "inside")
+    # the text with most band mates is the likely centre of a group of near copies
+    inside = keep(inside.join(inside.groupBy("node").agg(F.sum("size").alias("mates")), "node"), "inside")
+    centre = inside.groupBy("band").agg(F.max(F.struct("mates", "node", "n")).alias("c")).select("band", F.col("c.node").alias("c"), F.col("c.n").alias("nc"))
     wanted = inside.select("node").distinct().join(texts.select("node", "rep"), "node")
     own = bags_of(docs, doc_id, text, wanted, k)
     same = (own["node"] == wanted["node"]) & (own["rep"].eqNullSafe(wanted["rep"]))
-    bag = keep(own.join(wanted, same, "left_semi").groupBy("node").agg(F.first("bag").alias("bag")), "bags")
-    sizes = texts.select("node", "n")
-    tested = comp = None
-
-    def test(pairs):
-        """Overlaps of pairs not tested before; components of all links found so far."""
-        nonlocal tested, comp
-        new = keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if tested is not None and new.isEmpty():
-            return
-        found = overlaps(new, bag).join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        found = keep(found, "overlaps")
-        tested = found if tested is None else tested.union(found)
-        similar = F.col("both") >= share * (F.col("na") + F.col("nb")) - 1e-9
-        if comp is None or not found.where(similar).isEmpty():
-            older, comp = comp, components(tested.where(similar).select("a", "b"))
-            if older is not None:
-                release(older)
-
-    for level in range(LEVELS + 1):
-        # each band's texts against its centre
-        centre = inside.groupBy("band").agg(F.max(F.struct("mates", "node")).alias("c")).select("band", F.col("c.node").alias("c"))
-        star = inside.where("size > 1").join(centre, "band").where("node != c")
-        test(star.select(*ordered("node", "c")).distinct())
-        named = inside.where("size > 2").select("band", "node", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = named.groupBy("band").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p != q").select("band", "p")
-        split = keep(named.join(open_, "band").join(centre, "band"), "split")  # bands that still hold several components
-        if split.isEmpty():
-            break
-        work = split.groupBy("band").agg(F.count("*").alias("k"), F.count_if(F.col("comp") != F.col("p")).alias("out")).agg(F.sum(F.col("k") * F.col("out")), F.sum("k")).first()
-        if level == LEVELS or work[0] <= PER_TEXT * work[1]:  # what is left, in full
-            left = split.where("comp != p").select("band", F.col("node").alias("u"), "n", "comp")
-            right = split.select("band", F.col("node").alias("v"), F.col("n").alias("m"), F.col("comp").alias("d"))
-            fits = F.least("m", "n") >= F.lit(least) * F.greatest("m", "n")
-            test(left.join(right, "band").where((F.col("comp") != F.col("d")) & fits).select(*ordered("u", "v")).distinct())
-            break
-        # one cluster for each centre: what its bands hold
-        cluster = split.where("node != c").select("c", "node", "n", "comp", *ordered("node", "c")).distinct().join(tested.select("a", "b", "both"), ["a", "b"])
-        low = split.groupBy("c").agg(F.min("n").alias("low"), F.max(F.when(F.col("node") == F.col("c"), F.col("comp"))).alias("main"))
-        cluster = keep(cluster.join(low, "c").select("c", "node", "n", "comp", "both", "low", "main"), "cluster")
-        # pairs that what they share with the centre can make similar
-        near = cluster.where(F.col("both") >= share * (F.col("n") + F.col("low")) - 1e-9)
-        left = near.where("comp != main").select("c", F.col("node").alias("u"), "n", "both", "comp")
-        right = near.select("c", F.col("node").alias("v"), F.col("n").alias("m"), F.col("both").alias("o"), F.col("comp").alias("d"))
-        fits = F.least("o", "both") >= share * (F.col("m") + F.col("n")) - 1e-9
-        test(left.join(right, "c").where((F.col("comp") != F.col("d")) & fits).select(*ordered("u", "v")).distinct())
-        # and bands of what they share beside it
-        inside = crowded(residual_bands(cluster, bag, least).distinct().join(sizes, "node"))
-        if inside.isEmpty():
-            break
-    release(*written)
-    label = texts.select("node", "rep", "copies").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    bag = keep(own.join(wanted, same, "left_semi").groupBy("node").agg(F.first("bag").alias("bag"), F.first("sketch").alias("sketch")), "bags")
+    # each band's texts against its centre
+    named = keep(inside.join(centre, "band").where("node != c").select("band", "node", "n", "c", "nc", "size"), "named")
+    pairs = named.groupBy("node", "c").agg(F.first("n").alias("n"), F.first("nc").alias("nc"), F.max(F.col("size") > 2).alias("wide"))
+    star = keep(stars(pairs, bag, p, q), "stars")
+    comp = components(star.where("near").select(F.col("node").alias("a"), F.col("c").alias("b")))
+    # bands that still hold several components
+    label = named.where("size > 2").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_ = label.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("band")
+    cluster = keep(label.join(open_, "band").select("c", "node", "comp").distinct(), "cluster")
+    late = edit_pairs(cluster, star, bag, p, q, keep).withColumn("wide", F.lit(False))
+    links = stars(late, bag, p, q).where("near").select("node", "c")
+    old = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"{x}2"))
+    bridges = links.join(old("node"), "node", "left").join(old("c"), "c", "left").select(F.coalesce("node2", "node").alias("a"), F.coalesce("c2", "c").alias("b"))
+    bridge = components(keep(bridges.distinct(), "bridges"))
+    over = bridge.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    both = comp.select("node", "comp").union(over.select(F.col("comp").alias("node"), "comp"))
+    linked = cut(both.join(over, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")).groupBy("node").agg(F.min("comp").alias("comp")), "linked")
+    release(*written, comp, bridge)
+    return signed, linked
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row (doc_id, class_id, class_size) per document; class_id is the smallest doc_id of all documents linked directly or through others.
+
+    Texts with equal words are one text from the start (a partial aggregate, so thousands of copies cost no more than one). In each band
+    all texts are checked against the one with most band mates, the likely centre of its near copies. In bands that keep several components,
+    two texts of different ones can be similar only if they share an edit of the centre (see edit_keys), so they meet by the rarest such
+    edits they can do with; pairs are then told apart by their sizes, the edits' places and parity sketches, all of which are bounds, and
+    what is left is compared exactly. So no link that a band offers between components is lost, and a band of near copies isn't expanded
+    into all pairs. A text of 1 to 4 words is one shingle. Documents without words (null and empty texts too) are classes of their own, by
+    doc_id; rows with a null doc_id get the class of their text. Repeated rows stay repeated. An empty table gives no rows; other columns
+    are ignored.
+    """
+    signed, comp = _linked(docs, doc_id, text, [], k, least, bands, rows)
+    full = signed.where("n > 0")
+    label = full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     of = label.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = label.select("node", "comp").join(of, "comp").select("node", "class_id", "class_size")
+    named = cut(label.select("node", "comp").join(of, "comp").select("node", "class_id", "class_size"), "classes")
     alone = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return full.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "class_size").union(alone)
+
+
+def unique(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of ``docs`` with one row of each class of near-duplicates: that of the smallest doc_id (null is largest), then of the smallest digest.
+
+    Rows are told apart by a digest of all their columns, not by doc_id, so a doc_id with several texts is several documents. Of rows that
+    are equal in all columns one stays. Rows without words have no shingle to share and all stay. An empty table gives no rows.
+    """
+    keyed = docs.withColumn(KEY, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    signed, comp = _linked(keyed, doc_id, text, [KEY], k, least, bands, rows)
+    ident = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)
+    full = signed.where("n > 0").groupBy("node", "doc_id", KEY).agg(F.count("*").alias("times"))
+    least_ = full.groupBy("node").agg(F.min(F.struct(ident.alias("ident"), "times")).alias("r"))
+    of = least_.join(comp, "node", "left").groupBy(F.coalesce("comp", "node").alias("comp")).agg(F.min("r").alias("r"))
+    kept = of.select(F.col("r.ident.doc_id").alias("kept_id"), F.col(f"r.ident.{KEY}").alias("kept_key"), F.col("r.times").alias("kept_times"))
+    bare = signed.where("n = 0").select(F.col("doc_id").alias("kept_id"), F.col(KEY).alias("kept_key"), F.lit(1).cast("long").alias("kept_times")).distinct()
+    kept = cut(kept.union(bare), "kept")
+    found = keyed.join(kept, (F.col(KEY) == F.col("kept_key")) & F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("kept_id")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = found.where("kept_times = 1").select(*columns)
+    return once.union(found.where("kept_times > 1").dropDuplicates([KEY, "kept_id"]).select(*columns))

@@ -98,6 +98,16 @@ def test_group_of_copies_with_many_edits(spark):
     assert got == {rows[i][0]: c for i, c in brute(rows).items()}
 
 
+def test_unique_keeps_one_row_of_each_class(spark):
+    t1, t2 = "a b c d e f g h", "k l m n o p q r"
+    keep = lambda rows: sorted(map(tuple, neardup.unique(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert keep([(3, t1), (5, t1), (5, t2)]) == [(3, t1), (5, t2)]
+    assert keep([(1, t1), (2, t1), (2, t2), (1, t2)]) == [(1, t1), (1, t2)]
+    assert keep([(None, t1), (None, t1), (7, t1), (None, t2), (None, t2)]) == [(7, t1), (None, t2)]
+    assert keep([(1, ""), (1, ""), (2, None), (None, None)]) == sorted([(1, ""), (1, ""), (2, None), (None, None)], key=str)
+    assert keep([]) == []
+
+
 def test_edges(spark):
     assert neardup.classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     clash = spark.createDataFrame([(1, "a b c d e f", 9, 8), (1, "a b c d e f", 9, 8), (None, "a b c d e f", 9, 8)], "doc_id long, text string, node int, bands int")
