@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -71,6 +72,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def passing():
+    """Gives a cut(); at the end all scratch files made meanwhile are deleted, but those of what it returned."""
+    old, kept = {path for _, path in _written}, set()
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = cut(df, name)
+        kept.add(out._scratch)
+        return out
+
+    yield keep
+    for spark, path in [x for x in _written if x[1] not in old | kept]:
+        _written.remove((spark, path))
+        _delete(spark, path)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the files of frames from cut() that nothing reads any more."""
     for df in frames:

@@ -6,6 +6,13 @@ whole, so a task that runs again replaces it with the same bytes. The reader
 deals byte ranges of the archives to tasks. A task scans its range for the gzip
 magic, checks every candidate by inflating it and parsing the WARC header, and
 owns the records that start inside its range, wherever they end.
+
+A record's block can hold whole records, which look like candidates to a task
+that begins inside it. So of an archive of several ranges each task first follows
+its candidate from record to record to the end of its range; where the ranges
+meet, one range's end must be the next one's beginning, counted from the start
+of the archive, or that range is followed anew from there. What is read is thus
+exactly what one reader of the whole archive would read.
 """
 
 from __future__ import annotations
@@ -16,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +35,10 @@ from .common import cut, scratch
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of archive in one range, and read at a time.
 RANGE, STEP = 16 << 20, 1 << 20
-#: Bytes of a candidate that are inflated before its header must have shown up.
+#: Bytes that are read of a candidate at first.
 HEAD = 1 << 16
 
-ARCHIVES = T.StructType([T.StructField("path", T.StringType()), T.StructField("size", T.LongType())])
+ARCHIVES = T.StructType([T.StructField("path", T.StringType()), T.StructField("size", T.LongType()), T.StructField("records", T.LongType())])
 RECORDS = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -91,7 +99,7 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
 
 
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Write the pages as WARC archives into a shared folder; returns (path, size) of the archives.
+    """Write the pages as WARC archives into a shared folder; returns (path, size, records) of the archives.
 
     Of the records with equal payloads of at least ``least_bytes`` bytes the one with the smallest page_id is a response record, the others
     are revisits of it. A null html is an empty payload, a null url an empty one. Rows with a null page_id are written; they are revisits
@@ -108,6 +116,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
         .agg(F.min(F.struct(F.col("page_id").isNull().alias("no"), "page_id", "url")).alias("first"), F.count("*").alias("n"))
         .where("n > 1 and not first.no")
     )
+    first = cut(first, "repeated")  # both sides of the join are plain exchanges then, of which a hot digest can be split
     wide = rows.join(first.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")), "digest", "left")
     wide = wide.select("page_id", "url", "payload", "first_id", "first_url")
 
@@ -117,7 +126,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
         store, top = filesystem(folder)
         store.create_dir(top, recursive=True)
         part = TaskContext.get().partitionId()
-        partial, size = f"{top}/.part-{part:06d}-{uuid.uuid4().hex}", 0
+        partial, size, count = f"{top}/.part-{part:06d}-{uuid.uuid4().hex}", 0, 0
         out = None
         for batch in batches:
             out = out or store.open_output_stream(partial)
@@ -125,11 +134,11 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
                 p, f = p.as_py(), f.as_py()
                 member = page_record(p, u.as_py(), body.as_py(), None if f is None or f == p else f, fu.as_py())
                 out.write(member)
-                size += len(member)
+                size, count = size + len(member), count + 1
         if out is not None:
             out.close()
             store.move(partial, f"{top}/part-{part:06d}.warc.gz")
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/part-{part:06d}.warc.gz"]), pa.array([size], pa.int64())], ["path", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/part-{part:06d}.warc.gz"]), pa.array([size], pa.int64()), pa.array([count], pa.int64())], ["path", "size", "records"])
 
     return cut(wide.mapInArrow(save, ARCHIVES), "archives")
 
@@ -161,9 +170,7 @@ def parse(file, at: int, size: int) -> tuple[dict[str, str], bytes, int] | None:
             if split < 0:
                 if not data.startswith(b"WARC/"[: len(data)]):
                     return None
-                split = data.find(b"\r\n\r\n")
-                if split < 0 and len(data) > HEAD:
-                    return None
+                split = data.find(b"\r\n\r\n", max(0, len(data) - len(piece) - 3))
     except zlib.error:
         return None
     if split < 0 or not member.z.eof:
@@ -178,41 +185,95 @@ def parse(file, at: int, size: int) -> tuple[dict[str, str], bytes, int] | None:
     return headers, bytes(data[split + 4 : split + 4 + int(length)]), member.at
 
 
-def scan(path: str, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(position, headers, block) of the records that start in [start, end)."""
+def candidate(file, at: int, end: int, size: int, skip=frozenset()) -> tuple[int, tuple[dict[str, str], bytes, int]] | None:
+    """The first position in [at, end) where a record can start, with the record; positions in ``skip`` are known not to."""
+    while at < end:
+        file.seek(at)
+        raw = file.read(min(STEP, end - at) + len(MAGIC) - 1)
+        hop = raw.find(MAGIC)
+        if hop < 0:
+            at += max(1, len(raw) - len(MAGIC) + 1)
+            continue
+        at += hop
+        if at >= end:
+            return None
+        got = None if at in skip else parse(file, at, size)
+        if got is not None:
+            return at, got
+        at += 1
+    return None
+
+
+def walk(path: str, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes, int]]:
+    """(position, headers, block, next position) of the records that start in [start, end), one after the other from ``start`` on; behind bytes that are no record, from the next candidate on."""
     store, name = filesystem(path)
     with store.open_input_file(name) as file:
         size, at = file.size(), start
-        while at < end:
-            file.seek(at)
-            raw = file.read(min(STEP, end - at) + len(MAGIC) - 1)
-            hop = raw.find(MAGIC)
-            if hop < 0:
-                at += max(1, len(raw) - len(MAGIC) + 1)
-                continue
-            at += hop
-            if at >= end:
-                return
-            got = parse(file, at, size)
-            if got is None:
-                at += 1
-                continue
-            yield at, got[0], got[1]
-            at = got[2]
+        while at < end and (found := candidate(file, at, end, size)):
+            place, (headers, block, at) = found
+            yield place, headers, block, at
+
+
+def guess(path: str, start: int, end: int) -> tuple[int, int]:
+    """Where a range's first record seems to start, and where the last one that starts in it ends: records that follow each other without a gap to the range's end, or (-1, -1)."""
+    store, name = filesystem(path)
+    with store.open_input_file(name) as file:
+        size, at, bad = file.size(), start, set()
+        while found := candidate(file, at, end, size, bad):
+            first, (_, _, now) = found
+            chain = [first]
+            while first not in bad and now < min(end, size):
+                got = None if now in bad else parse(file, now, size)
+                if got is None:  # a gap: these records stand inside another one, or the archive is damaged
+                    bad.update(chain)
+                else:
+                    chain.append(now)
+                    now = got[2]
+            if first not in bad:
+                return first, now
+            at = first + 1
+    return -1, -1
 
 
 def read(spark: SparkSession, archives: DataFrame, span: int = RANGE) -> DataFrame:
-    """All records of the archives (path, size): path, start, headers (names in lower case) and block."""
-    last = F.greatest(F.lit(0), F.floor((F.col("size") - 1) / span))
-    ranges = archives.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("k"))
-    ranges = ranges.select("path", (F.col("k") * span).alias("start"), F.least(F.col("size"), (F.col("k") + 1) * span).alias("end"))
+    """All records of the archives (path, size): path, start, headers (names in lower case) and block.
+
+    Empty archives and an empty table have none. Bytes that are no record, as after an archive that was cut off, are skipped.
+    """
+    last = F.floor((F.col("size") - 1) / span).cast("long")
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    whole = archives.where((F.col("size") > 0) & (F.col("size") <= span)).select("path", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
+    ranges = archives.where(F.col("size") > span).select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
+    ranges = ranges.select("path", (F.col("k") * span).alias("start"), F.least(F.col("size"), (F.col("k") + 1) * span).alias("end"))
+
+    def look(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            found = [guess(r["path"], r["start"], r["end"]) for r in rows]
+            ends = [pa.array(x, pa.int64()) for x in zip(*found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("start"), batch.column("end"), *ends], ["path", "start", "end", "first", "next"])
+
+    def settle(parts: pd.DataFrame) -> pd.DataFrame:  # one archive's ranges, a row each
+        at, out = 0, []
+        for r in parts.sort_values("start").itertuples():
+            if at >= r.end:
+                continue
+            out.append((r.path, at, r.end))
+            if r.first == at:
+                at = r.next
+            else:
+                at = max([x[3] for x in walk(r.path, at, r.end)], default=r.end)
+        return pd.DataFrame(out, columns=["path", "start", "end"])
+
+    kind = "path string, start bigint, end bigint"
+    looked = ranges.repartition(width, "path", "start").mapInArrow(look, f"{kind}, first bigint, next bigint")
+    settled = looked.groupBy("path").applyInPandas(settle, kind)
 
     def load(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 held, held_bytes = [], 0
-                for at, headers, block in scan(row["path"], row["start"], row["end"]):
+                for at, headers, block, _ in walk(row["path"], row["start"], row["end"]):
                     held.append((row["path"], at, list(headers.items()), block))
                     held_bytes += len(block)
                     if held_bytes > 4 * STEP:
@@ -225,7 +286,7 @@ def read(spark: SparkSession, archives: DataFrame, span: int = RANGE) -> DataFra
         kinds = (pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], RECORDS.names)
 
-    return ranges.repartition(width, "path", "start").mapInArrow(load, RECORDS)
+    return whole.union(settled).repartition(width, "path", "start").mapInArrow(load, RECORDS)
 
 
 def page_rows(records: DataFrame) -> DataFrame:
@@ -258,7 +319,12 @@ def page_rows(records: DataFrame) -> DataFrame:
     return records.select("headers", "block").mapInArrow(derive, schema)
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages to the shared folder and read the archives back."""
+def round_trip(pages: DataFrame, span: int = RANGE) -> DataFrame:
+    """Write the pages to the shared folder and read the archives back; an error if a record is missing or there is one too many."""
     spark = pages.sparkSession
-    return page_rows(read(spark, write(pages, scratch(spark, "warc"))))
+    archives = write(pages, scratch(spark, "warc"))
+    rows = cut(page_rows(read(spark, archives, span)), "records")
+    written = archives.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    if (got := rows.count()) != written:
+        raise ValueError(f"{written} records were written, {got} read")
+    return rows
