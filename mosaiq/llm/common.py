@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch that holds whole texts, at most.
-BATCH = 1000
+#: Bytes of an Arrow batch, about: one long text may exceed them.
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +107,14 @@ def node_filter(nodes: DataFrame, bits: int = 26) -> bytes:
     return bytes(out)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, for all that this session plans from here on: batches of whole texts would take a task's memory by rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().removesuffix("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:  # with another suffix it was set on purpose
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_text(
     df: DataFrame, text: str, keep: Iterable[str], out: T.StructType, make: Callable[[], Callable[[pa.Array], dict[str, object]]]
 ) -> DataFrame:
@@ -114,9 +122,7 @@ def map_text(
 
     ``make`` is called once in each task. Results are nested, so that no name can clash.
     """
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH:  # whole texts: smaller batches bound a task's memory
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    bounded(df.sparkSession)
     names = [f.name for f in out.fields]
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if list(keep) else F.struct(F.lit(0).alias("_"))
     given = df.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text"))

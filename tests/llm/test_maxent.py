@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from mosaiq.llm import maxent
 
@@ -44,32 +45,76 @@ def test_base_scores_and_gain(spark, monkeypatch):
     assert all(r["score"] < 0 for r in got)
 
 
-def test_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    hashes = np.unique(rng.integers(1, 2**63, 50).astype(np.uint64))
-    voc = maxent.Vocabulary(np.append(hashes, maxent.END), rng.integers(8, 90, len(hashes) + 1), 9000)
-    weights = rng.normal(size=(maxent.BUCKETS, maxent.CLASSES)).astype(np.float32)
-    z = maxent.class_logits(weights, voc.prior, np.array([[1, 2, 3]]))
-    p = np.exp(z[0]) / np.exp(z[0]).sum()
-    within = np.bincount(voc.classes, 10.0**voc.inside, maxent.CLASSES)
-    assert np.allclose(within[:-1][within[:-1] > 0], 1)
-    assert abs((p[:-1] * within[:-1]).sum() + p[-1] - (1 - p[:-1][within[:-1] == 0].sum())) < 1e-5
+def made(rng, n, tail=900):
+    hashes = np.unique(rng.integers(1, 2**63, n).astype(np.uint64))
+    counts = rng.integers(8, 90, len(hashes) + 1) * rng.choice([1, 50], len(hashes) + 1)
+    return maxent.Vocabulary(np.append(hashes, maxent.END), counts, int(counts.sum()) + tail)
 
 
-def test_gradient_lowers_the_loss():
+@pytest.mark.parametrize(("n", "tail"), [(0, 0), (1, 5), (14, 0), (15, 7), (16, 1), (50, 900), (700, 0)])
+def test_probabilities_sum_to_one(n, tail):
+    rng = np.random.default_rng(n)
+    voc = made(rng, n, tail)
+    weights = rng.normal(size=(1 << 12, maxent.BRANCH)).astype(np.float32)
+    leaves = np.arange(len(voc.hashes) + 1)
+    feature = np.repeat(np.array([[1], [2], [3]], np.uint64), len(leaves), axis=1)
+    log_p = np.zeros(len(leaves))
+    for token, node, branch, buckets in voc.choose(leaves, feature, 12):
+        z = maxent.logits(weights, voc.prior, buckets, node).astype(np.float64)
+        np.add.at(log_p, token, z[np.arange(len(branch)), branch] - np.log(np.exp(z).sum(axis=1)))
+    assert abs(np.exp(log_p).sum() - 1) < 1e-5
+
+
+def test_tree_follows_frequency():
+    voc = made(np.random.default_rng(2), 300)
+    depth = np.diff(voc.offsets)[:-1]
+    order = np.argsort(-voc.counts)
+    assert (np.diff(depth[order]) >= 0).all() and depth.min() < depth.max()
+
+
+def test_gradient_equals_differences():
     rng = np.random.default_rng(1)
-    f = rng.integers(0, 40, (4000, 3))
-    y = f[:, 0] % maxent.CLASSES
-    w, prior = np.zeros((maxent.BUCKETS, maxent.CLASSES), np.float32), np.zeros(maxent.CLASSES, np.float32)
-
-    def loss():
-        z = maxent.class_logits(w, prior, f)
-        return -(z[np.arange(len(y)), y] - np.log(np.exp(z).sum(axis=1))).mean()
-
-    before = loss()
-    for _ in range(20):
-        maxent.steps(w, prior, f, y)
-    assert loss() < 0.6 * before
+    voc = made(rng, 40)
+    leaves = rng.integers(0, 41, 300)
+    features = rng.integers(0, 9, (3, 300)).astype(np.uint64)
+    w = rng.normal(size=(1 << 12, maxent.BRANCH)).astype(np.float32)
+
+    def loss(w):
+        out = 0.0
+        for _, node, branch, buckets in voc.choose(leaves, features, 12):
+            z = maxent.logits(w.astype(np.float64), voc.prior, buckets, node)
+            out -= (z[np.arange(len(branch)), branch] - np.log(np.exp(z).sum(axis=1))).sum()
+        return out
+
+    g, seen = np.zeros((1 << 12, maxent.BRANCH), np.int64), np.zeros(1 << 12, np.int64)
+    maxent.gradient(voc, w, leaves, features, g, seen)
+    assert seen.sum() == 3 * np.diff(voc.offsets)[leaves].sum()
+    for b in rng.choice(np.flatnonzero(seen), 10):
+        for k in (0, 3):
+            up, down = w.astype(np.float64), w.astype(np.float64)
+            up[b, k] += 1e-4
+            down[b, k] -= 1e-4
+            numeric = (loss(up) - loss(down)) / 2e-4
+            assert abs(numeric - g[b, k] / maxent.UNIT) < 1e-3 * max(1, seen[b])
+
+
+def test_scores_do_not_depend_on_partitions_and_use_context(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "LEAST", 2)
+    rows = corpus(5, 800)
+    got = []
+    for parts in (3, 11):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got.append({(r["doc_id"], r["n_tokens"]): r["score"] for r in maxent.score(df).collect()})
+    assert got[0].keys() == got[1].keys() and all(abs(got[0][k] - got[1][k]) < 1e-6 for k in got[0])
+    probe = [(10_000 + i, f"{a} {b}") for i, (a, b) in enumerate([("new", "york"), ("machine", "york"), ("machine", "learning"), ("new", "learning")])]
+    s = {r["doc_id"] - 10_000: r["score"] for r in maxent.score(spark.createDataFrame(rows + probe, "doc_id long, text string")).collect() if (r["doc_id"] or 0) >= 10_000}
+    assert s[0] > s[1] + 0.3 and s[2] > s[3] + 0.3  # the second word is told by the first
+
+
+def test_every_text_counts_whole(spark):
+    rows = [(i, "a b " * 40) for i in range(30)] + [(100, "b a " * 300_000 + "odd")]
+    got = {r["doc_id"]: r for r in maxent.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100]["n_tokens"] == 600_002 and got[100]["score"] < got[0]["score"] < 0
 
 
 def test_tokens_do_not_depend_on_batches():
