@@ -1,17 +1,16 @@
 """Benchmark decontamination by winnowing.
 
 Each text gives the minimum 5-gram hash of every 9 consecutive 5-grams, so two
-texts that share 13 words share a fingerprint.  Fingerprints that documents and
-benchmark items have in common are extended to the longest run of equal words;
-runs of 13 words or more are hits.  Items of fewer than 13 words are one window
-each and are looked up as whole windows.
+texts that share 13 words share a fingerprint of these. Fingerprints of documents
+are joined to those of benchmark items, with the 8 words on either side, in which
+all windows of 13 words around a fingerprint lie; a hit is extended as far as the
+words are equal, and counts from 13 words on. Items of fewer than 13 words are one
+window each, and meet the documents' runs of as many words. A bitmap of fixed size
+keeps fingerprints that no item has out of the join.
 """
 
 from __future__ import annotations
 
-import hashlib
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,19 +18,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit
-from .common import map_text
+from .common import bounded, cut, map_text, node_filter
 
 SPAN, GRAM = 13, 5
-#: Bytes of benchmark text that one pass holds in memory; a larger benchmark takes more passes.
-PASS_BYTES = 32 << 20
+#: Bits of the filter of fingerprints.
+FILTER_BITS = 26
+#: Bytes of a table of hits that is broadcast, at most; a larger one is joined by a shuffle.
+SMALL = 8 << 20
+U64 = np.uint64
 
-OUT = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("spans", T.ArrayType(T.LongType())),
-        T.StructField("items", T.ArrayType(T.StringType())),
-    ]
-)
+MARK = "key bigint, key2 bigint, mark bigint, pos bigint, size int, words binary"
+OUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("key", T.LongType()), T.StructField("key2", T.LongType())])
+HIT = "key bigint, key2 bigint, item string, start bigint, end bigint"
 
 
 def winnow(hashes: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -61,78 +59,128 @@ def locate(hashes: np.ndarray, offsets: np.ndarray, windows: np.ndarray, values:
     return offsets[rows] + pos - go[rows], values[first]
 
 
-@dataclass
-class Index:
-    """Fingerprints of a bounded part of the benchmark."""
-
-    ids: list[str]
-    words: np.ndarray
-    offsets: np.ndarray
-    marks: np.ndarray  # sorted fingerprints
-    where: np.ndarray  # word position of each
-    short: dict[int, tuple[np.ndarray, np.ndarray]]  # words in the window: sorted hashes, items
-
-    @classmethod
-    def of(cls, ids: list[str], texts: list[str], span: int, gram: int) -> Index:
-        hs, offs = [], [np.zeros(1, np.int64)]
-        for _, _, h, o in textkit.word_slices(pa.array(texts, pa.large_string())):
-            hs.append(h)
-            offs.append(o[1:] + offs[-1][-1])
-        words = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
-        offsets = np.concatenate(offs)
-        at, values = winnow(words, offsets, span, gram)
-        at, values = locate(words, offsets, at, values, span, gram) if len(at) else (at, values)
-        order = np.argsort(values, kind="stable")
-        short = {}
+def marks(hashes: np.ndarray, offsets: np.ndarray, short: list[int], span: int, gram: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(size, rows, positions in the row, marks, surrounding words) of the fingerprints, size 0, and of all runs of each short size."""
+    out = []
+    at, values = winnow(hashes, offsets, span, gram)
+    if len(at):
+        at, values = locate(hashes, offsets, at, values, span, gram)
+        out.append((0, at, values, gram, span - gram))
+    for n in short:
+        g, go = textkit.grams(hashes, offsets, n)
         sizes = np.diff(offsets)
-        for n in np.unique(sizes[(sizes > 0) & (sizes < span)]).tolist():
-            items = np.flatnonzero(sizes == n)
-            sub = np.concatenate([words[offsets[i] : offsets[i + 1]] for i in items])
-            g, _ = textkit.grams(sub, np.arange(len(items) + 1) * n, n)
-            o = np.argsort(g, kind="stable")
-            short[n] = g[o], items[o]
-        return cls(ids, words, offsets, values[order], at[order], short)
-
-    def scan(self, h: np.ndarray, off: np.ndarray, span: int, gram: int):
-        """(row, item, start, end) of every run of equal words that covers a window."""
-        found = []
-        if len(self.marks):
-            at, values = winnow(h, off, span, gram)
-            hit = np.searchsorted(self.marks, values)
-            hit[hit == len(self.marks)] = 0
-            same = self.marks[hit] == values if len(values) else np.zeros(0, bool)
-            if same.any():
-                pos, vals = locate(h, off, at[same], values[same], span, gram)
-                lo, hi = np.searchsorted(self.marks, vals), np.searchsorted(self.marks, vals, "right")
-                rows = np.searchsorted(off, pos, "right") - 1
-                done: dict[tuple[int, int, int], int] = {}
-                for p, r, a, b in zip(pos.tolist(), rows.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    d0, d1 = int(off[r]), int(off[r + 1])
-                    for q in self.where[a:b].tolist():
-                        i = int(np.searchsorted(self.offsets, q, "right")) - 1
-                        if done.get((r, i, p - q), -1) > p:
-                            continue
-                        i0, i1 = int(self.offsets[i]), int(self.offsets[i + 1])
-                        n = min(p - d0, q - i0)
-                        back = np.flatnonzero(h[p - n : p][::-1] != self.words[q - n : q][::-1])
-                        start = p - (int(back[0]) if len(back) else n)
-                        n = min(d1 - p, i1 - q)
-                        fore = np.flatnonzero(h[p : p + n] != self.words[q : q + n])
-                        end = p + (int(fore[0]) if len(fore) else n)
-                        done[r, i, p - q] = end
-                        if end - start >= span:
-                            found.append((r, i, start - d0, end - d0))
-        for n, (marks, items) in self.short.items():
-            g, go = textkit.grams(h, off, n)
-            if not len(g):
-                continue
-            lo = np.searchsorted(marks, g)
-            same = np.flatnonzero(marks[np.minimum(lo, len(marks) - 1)] == g)
-            hi = np.searchsorted(marks, g[same], "right")
-            rows = np.searchsorted(go, same, "right") - 1
-            for j, r, a, b in zip(same.tolist(), rows.tolist(), lo[same].tolist(), hi.tolist(), strict=True):
-                found += [(r, int(i), j - int(go[r]), j - int(go[r]) + n) for i in items[a:b]]
-        return found
+        rows = np.repeat(np.arange(len(sizes)), np.diff(go))
+        whole = np.flatnonzero((sizes >= n)[rows])
+        out.append((n, (offsets[rows] + np.arange(len(g)) - go[rows])[whole], g[whole], n, 0))
+    made = []
+    for n, at, values, width, wide in out:
+        rows = np.searchsorted(offsets, at, "right") - 1
+        made.append((n, rows, at, textkit.mix(values ^ U64(n)), width, wide))
+    return made
+
+
+def around(hashes: np.ndarray, offsets: np.ndarray, rows: np.ndarray, at: np.ndarray, width: int, wide: int, fill: int) -> np.ndarray:
+    """The words of ``width`` and ``wide`` more on either side; ``fill`` beyond the text."""
+    index = at[:, None] + np.arange(-wide, width + wide)
+    inside = (index >= offsets[rows][:, None]) & (index < offsets[rows + 1][:, None])
+    return np.where(inside, hashes[np.clip(index, 0, len(hashes) - 1)], U64(fill))
+
+
+def keys(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit digests of each row's words."""
+    return textkit.row_digest(hashes, offsets).astype(np.int64), textkit.row_digest(textkit.mix(hashes + U64(1)), offsets).astype(np.int64)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """Per row of ``docs``: ``row`` (the columns to keep) and ``decon``: n_words, spans (flat word starts and ends of the hits) and items (ids, sorted as strings).
+
+    A null or empty text has no words and no hits; equal rows give equal results; items with null id or no words match nothing; an empty
+    benchmark hits nothing. Texts and items of any length are read whole, and neither table is gathered anywhere: hits are found once
+    for all documents of the same words and joined back by two digests of these.
+    """
+    spark = docs.sparkSession
+    bounded(spark)
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
+
+    def item_marks(batches):
+        for batch in batches:
+            for i, j, h, off in textkit.word_slices(batch.column("text")):
+                sizes = np.diff(off)
+                for n, rows, at, values, width, wide in marks(h, off, sorted({int(x) for x in sizes if 0 < x < span}), span, gram):
+                    if n:  # an item of n words is one window, longer ones have none of that size
+                        own = sizes[rows] == n
+                        rows, at, values = rows[own], at[own], values[own]
+                    words = around(h, off, rows, at, width, wide, 1)
+                    yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(i + rows)), pa.array(values.astype(np.int64)), pa.array([n] * len(at), pa.int32()), pa.array([x.tobytes() for x in words], pa.binary())], ["item", "mark", "size", "words"])
+
+    known = cut(bench.mapInArrow(item_marks, "item string, mark bigint, size int, words binary").distinct(), "marks")
+    held = spark.sparkContext.broadcast(node_filter(known.select(F.col("mark").alias("node")), FILTER_BITS))
+    short = sorted(r[0] for r in known.where("size > 0").select("size").distinct().collect())  # below span
+
+    def doc_marks(batches):
+        bits = np.frombuffer(held.value, np.uint8)
+        for batch in batches:
+            for _, _, h, off in textkit.word_slices(batch.column("text")):
+                first, second = (None, None)
+                for n, rows, at, values, width, wide in marks(h, off, short, span, gram):
+                    low = values & U64((1 << FILTER_BITS) - 1)
+                    pick = np.flatnonzero((bits[(low >> U64(3)).astype(np.int64)] >> (low & U64(7)).astype(np.uint8)) & 1)
+                    if not len(pick):
+                        continue
+                    if first is None:
+                        first, second = keys(h, off)
+                    rows, at = rows[pick], at[pick]
+                    words = around(h, off, rows, at, width, wide, 0)
+                    columns = [first[rows], second[rows], values[pick].astype(np.int64), at - off[rows]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([n] * len(at), pa.int32()), pa.array([x.tobytes() for x in words], pa.binary())], ["key", "key2", "mark", "pos", "size", "words"])
+
+    found = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where("text is not null").mapInArrow(doc_marks, MARK).dropDuplicates(["key", "key2", "mark", "pos", "size"])
+    met = found.join(known.select("item", "mark", "size", F.col("words").alias("theirs")), ["mark", "size"])
+
+    def extend(batches):
+        for batch in batches:
+            size, pos = batch.column("size").to_numpy(), batch.column("pos").to_numpy()
+            for n in np.unique(size):
+                pick = np.flatnonzero(size == n)
+                at = pa.array(pick)
+                same = np.stack([np.frombuffer(x, U64) == np.frombuffer(y, U64) for x, y in zip(batch.column("words").take(at).to_pylist(), batch.column("theirs").take(at).to_pylist(), strict=True)])
+                width, wide = (int(n), 0) if n else (gram, span - gram)
+                back = np.cumprod(same[:, :wide][:, ::-1], axis=1).sum(axis=1)
+                fore = np.cumprod(same[:, wide + width :], axis=1).sum(axis=1)
+                hit = same[:, wide : wide + width].all(axis=1) & (back + width + fore >= (n or span))
+                pick, start = pick[hit], (pos[pick] - back)[hit]
+                end = start + (back + width + fore)[hit]
+                take = pa.array(pick)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in ("key", "key2", "item")], pa.array(start), pa.array(end)], ["key", "key2", "item", "start", "end"])
+
+    hits = met.select("key", "key2", "size", "pos", "item", "words", "theirs").mapInArrow(extend, HIT)
+    texts = hits.groupBy("key", "key2").agg(F.collect_set(F.struct("start", "end")).alias("runs"), F.array_sort(F.collect_set("item")).alias("items"))
+
+    def unite(batches):
+        for batch in batches:
+            spans = [union([(r["start"], r["end"]) for r in runs]) for runs in batch.column("runs").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("key2"), pa.array(spans, pa.list_(pa.int64())), batch.column("items")], ["key", "key2", "spans", "items"])
+
+    texts = cut(texts.mapInArrow(unite, "key bigint, key2 bigint, spans array<bigint>, items array<string>"), "hits")
+    size = texts.agg(F.coalesce(F.sum(F.lit(32) + 8 * F.size("spans") + F.octet_length(F.array_join("items", "")) + 16 * F.size("items")), F.lit(0))).first()[0]
+
+    def make():
+        def count(column: pa.Array) -> dict[str, object]:
+            n, k1, k2 = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for _, _, h, off in textkit.word_slices(column):
+                n.append(np.diff(off))
+                first, second = keys(h, off)
+                k1.append(first)
+                k2.append(second)
+            return {"n_words": np.concatenate(n), "key": np.concatenate(k1), "key2": np.concatenate(k2)}
+
+        return count
+
+    counted = map_text(docs, text, keep, OUT, make)
+    right = texts.select(F.col("key").alias("_k1"), F.col("key2").alias("_k2"), "spans", "items")
+    both = counted.join(F.broadcast(right) if size <= SMALL else right, (F.col("out.key") == F.col("_k1")) & (F.col("out.key2") == F.col("_k2")), "left")
+    spans, items = F.coalesce("spans", F.array().cast("array<bigint>")), F.coalesce("items", F.array().cast("array<string>"))
+    return both.select("row", F.struct(F.col("out.n_words").alias("n_words"), spans.alias("spans"), items.alias("items")).alias("decon"))
 
 
 def union(spans: list[tuple[int, int]]) -> list[int]:
@@ -146,73 +194,6 @@ def union(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", span: int = SPAN, gram: int = GRAM, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """Per row of ``docs``: ``row`` (the columns to keep) and ``decon``: n_words, spans (flat word starts and ends of the hits) and items (ids, sorted as strings).
-
-    A null or empty text has no words and no hits; equal rows give equal results; items with null id or no words match nothing; an empty
-    benchmark hits nothing. Texts of any length are read whole. The benchmark is held in memory in parts of ``pass_bytes``; each further
-    part is one more narrow pass over the documents, without a shuffle.
-    """
-    spark = docs.sparkSession
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // pass_bytes))
-    out = None
-    for k in range(parts):
-        rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k).distinct().collect()  # about pass_bytes
-        shared = spark.sparkContext.broadcast(Index.of([r[0] for r in rows], [r[1] for r in rows], span, gram))
-        cols = list(keep) if out is None else ["row", "out"]
-        source = docs if out is None else out.withColumn("text", F.col(f"row.`_text`"))
-        if out is None and parts > 1:
-            source, cols = docs.withColumn("_text", F.col(f"`{text}`").cast("string")), [*keep, "_text"]
-
-        def make(shared=shared):
-            def scan(column: pa.Array) -> dict[str, object]:
-                index = shared.value
-                n_words, spans, items = [], [], []
-                for i, j, h, off in textkit.word_slices(column):
-                    n_words += np.diff(off).tolist()
-                    s, t = [[] for _ in range(j - i)], [set() for _ in range(j - i)]
-                    for r, item, a, b in index.scan(h, off, span, gram):
-                        s[r].append((a, b))
-                        t[r].add(index.ids[item])
-                    spans += [union(x) for x in s]
-                    items += [sorted(x) for x in t]
-                return {"n_words": n_words, "spans": spans, "items": items}
-
-            return scan
-
-        got = map_text(source, text if out is None else "text", cols, OUT, make)
-        if out is None:
-            out = got
-        else:  # hits of an earlier part and this one
-            pairs = F.transform(F.sequence(F.lit(0), F.size("both") - 2, F.lit(2)), lambda i: F.struct(F.get("both", i).alias("a"), F.get("both", i + 1).alias("b")))
-            both = got.select(F.col("row.row").alias("row"), F.col("row.out").alias("x"), F.col("out").alias("y"))
-            out = both.withColumn("both", F.concat("x.spans", "y.spans")).select(
-                "row",
-                F.struct(
-                    F.col("x.n_words").alias("n_words"),
-                    F.when(F.size("both") == 0, F.col("both")).otherwise(_merged(F.array_sort(pairs))).alias("spans"),
-                    F.array_sort(F.array_union("x.items", "y.items")).alias("items"),
-                ).alias("out"),
-            )
-    if parts > 1:
-        out = out.withColumn("row", F.col("row").dropFields("_text"))
-    return out.withColumnRenamed("out", "decon")
-
-
-def _merged(pairs):
-    """Flat union of sorted (a, b) structs."""
-    empty = F.array().cast("array<bigint>")
-    return F.aggregate(
-        pairs,
-        empty,
-        lambda acc, p: F.when((F.size(acc) > 0) & (F.element_at(acc, -1) >= p["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.element_at(acc, -1), p["b"])))).otherwise(
-            F.concat(acc, F.array(p["a"], p["b"]))
-        ),
-    )
-
-
 def n_hit(spans):
     """Words in a flat list of spans."""
     return F.when(F.size(spans) == 0, F.lit(0).cast("long")).otherwise(
@@ -224,7 +205,3 @@ def contaminated(found: DataFrame) -> DataFrame:
     """``row`` with n_words, n_hit, items, and contaminated: some hit, and one word in twenty at least."""
     out = found.select("row", F.col("decon.n_words").alias("n_words"), n_hit(F.col("decon.spans")).alias("n_hit"), F.col("decon.items").alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

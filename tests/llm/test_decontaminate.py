@@ -61,9 +61,23 @@ def test_equals_brute_force(spark, seed):
     assert run(spark, docs, items) == brute(docs, items)
 
 
-def test_passes_over_a_large_benchmark_equal_one(spark):
+def test_a_hits_table_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(D, "SMALL", -1)
     docs, items = made(4)
-    assert run(spark, docs, items, pass_bytes=200) == brute(docs, items)
+    assert run(spark, docs, items) == brute(docs, items)
+
+
+def test_repeated_words_and_long_texts(spark):
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(5000)]
+    long = [rng.choice(vocab) for _ in range(150_000)]
+    items = [(1, "same " * 3000), (2, " ".join(long[70_000:70_400])), (3, " ".join(long[149_990:] + ["x"] * 20)), (4, " ".join(long[-13:]))]
+    docs = [(1, "same " * 4000), (2, " ".join(long)), (3, "same " * 12)] + [(10 + i, " ".join(long[70_000:70_400])) for i in range(50)]
+    got = run(spark, docs, items)
+    digest = lambda *x: hashlib.sha256(",".join(x).encode()).hexdigest()
+    assert got[1] == (4000, 4000, 1, digest("1"), True) and got[3][1:3] == (0, 0)
+    assert got[2] == (150_000, 413, 2, digest("2", "4"), False)
+    assert {got[10 + i] for i in range(50)} == {(400, 400, 1, digest("2"), True)}
 
 
 def test_edges(spark):
