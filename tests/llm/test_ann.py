@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from mosaiq.llm import ann
 
@@ -57,9 +58,36 @@ def test_edges(spark):
     assert [tuple(r)[:3] for r in ann.search(clash, clash.where("vec_id = 0")).collect()] == [(0, 1, 5)]
 
 
-def test_error_bound_holds():
+@pytest.mark.parametrize("dim", [3, 64, 100])
+def test_error_bound_holds(dim):
     rng = np.random.default_rng(3)
-    v, q = rng.normal(size=(2000, 64)), rng.normal(size=(20, 64))
-    centre, turn = v.mean(axis=0), ann.rotation(64, 7)
-    guess, bound = ann.estimate(q, ann.encode(v, centre, turn), centre, turn, 3.0)
-    assert np.mean(np.abs(guess - q @ v.T) <= bound) > 0.99
+    v, q = rng.normal(size=(2000, dim)), rng.normal(size=(20, dim))
+    centre, turn = v.mean(axis=0), ann.rotation(dim, 7)
+    bits, scalars = ann.encode(v, centre, turn)
+    assert bits.shape == (2000, -(-dim // 64)) and bits.dtype == np.uint64
+    turned = q @ turn
+    plane, low, step, total = ann.planes(turned)
+    ones = np.bitwise_count(bits).sum(axis=1)
+    held = []
+    for i in range(len(q)):
+        guess, bound = ann.estimate(q[i], plane[i], low[i], step[i], total[i], q[i] @ centre, bits, ones, scalars, 3.0)
+        held.append(np.mean(np.abs(guess - v @ q[i]) <= bound))
+        level = np.rint((turned[i] - low[i]) / step[i])  # the bit counts are the plain sums
+        signs = np.where((v - centre) @ turn > 0, 1, -1) / np.sqrt(dim)
+        assert np.allclose(guess, signs @ (low[i] + step[i] * level) * scalars[:, 0] / scalars[:, 1] + q[i] @ centre)
+    assert np.mean(held) > 0.99
+
+
+def test_recall_on_the_even_table(spark):
+    """The test vectors are spread evenly over all directions, the hardest case for codes."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(3000, 64))
+    v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 20 = 0"), row_block=1000, query_block=64).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    s = v[::20] @ v.T
+    s[np.arange(150), np.arange(150) * 20] = -9
+    recall = np.mean([len(got[20 * i] & set(np.argsort(-x)[:20].tolist())) / 20 for i, x in enumerate(s)])
+    assert recall >= 0.97
