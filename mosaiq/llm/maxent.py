@@ -158,10 +158,10 @@ class Vocabulary:
 
 
 def logits(weights: np.ndarray, prior: np.ndarray, buckets: np.ndarray, node: np.ndarray) -> np.ndarray:
-    z = weights[buckets[0]]
-    z += weights[buckets[1]]
-    z += weights[buckets[2]]
-    z += prior[node]
+    z = weights.take(buckets[0], axis=0)
+    z += weights.take(buckets[1], axis=0)
+    z += weights.take(buckets[2], axis=0)
+    z += prior.take(node, axis=0)
     z -= z.max(axis=1, keepdims=True)
     return z
 
@@ -169,18 +169,20 @@ def logits(weights: np.ndarray, prior: np.ndarray, buckets: np.ndarray, node: np
 def gradient(voc: Vocabulary, weights: np.ndarray, leaves: np.ndarray, features: np.ndarray, out: np.ndarray, seen: np.ndarray) -> None:
     """Adds to ``out`` expected minus observed choices of each bucket and branch, and to ``seen`` the number of choices, in units of 1 / UNIT."""
     bits = int(log2(len(weights)))
-    for _, node, branch, buckets in voc.choose(leaves, features, bits):
+    part, within = np.zeros(out.size, np.int32), np.arange(BRANCH)  # 32 chunks' sums stay below the bounds of 32 bits
+    for k, (_, node, branch, buckets) in enumerate(voc.choose(leaves, features, bits), 1):
         p = np.exp(logits(weights, voc.prior, buckets, node))
         p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(branch)), branch] -= 1
+        p.reshape(-1)[np.arange(len(branch)) * BRANCH + branch] -= 1
         p *= UNIT
-        whole = np.rint(p).astype(np.int32)
-        flat = buckets.ravel()
-        order = np.argsort(flat, kind="stable")
-        at = flat[order]
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        out[at[first]] += np.add.reduceat(whole[order % len(branch)], first, axis=0)
-        seen[at[first]] += np.diff(np.append(first, len(at)))
+        whole = np.rint(p).astype(np.int32).ravel()
+        for b in buckets:
+            np.add.at(part, (b[:, None] * BRANCH + within).ravel(), whole)
+            np.add.at(seen, b, 1)
+        if k % 32 == 0:
+            out += part.reshape(out.shape)
+            part[:] = 0
+    out += part.reshape(out.shape)
 
 
 def counted(docs: DataFrame, text: str) -> DataFrame:
@@ -267,7 +269,8 @@ def part_scores(column: pa.Array, voc: Vocabulary, weights: np.ndarray) -> dict[
         log_p = np.zeros(len(tokens))
         for token, node, branch, buckets in voc.choose(leaf[back], history(tokens, off), bits):
             z = logits(weights, voc.prior, buckets, node)
-            np.add.at(log_p, token, z[np.arange(len(branch)), branch] - np.log(np.exp(z).sum(axis=1)))
+            own = z.ravel().take(np.arange(len(branch)) * BRANCH + branch) - np.log(np.exp(z).sum(axis=1))
+            log_p[token[0] : token[-1] + 1] = np.bincount(token - token[0], own)
         add = lambda x: np.bincount(rows, x, j - i)
         n_tokens.append(np.diff(off))
         known.append(add(frequent[back]).astype(np.int64))
