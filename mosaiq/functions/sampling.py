@@ -110,3 +110,18 @@ def clamp01(x: Column) -> Column:
 def floor_of(floor: Column, target: Column, k: Column) -> Column:
     """N-20: a per-clip floor that k clips can have within the target."""
     return F.greatest(F.lit(0).cast("bigint"), F.least(floor, F.floor(target / k).cast("bigint")))
+
+
+def apart(ys: Column, gap: float, lo: float, hi: float) -> Column:
+    """W-10: sorted positions moved apart to a least gap: upwards; then all down by what passes the top; then downwards from the top; none below the bottom."""
+    none = F.array().cast("array<double>")
+    push = F.aggregate(ys, none, lambda acc, y: F.concat(acc, F.array(F.when(F.size(acc) == 0, y).otherwise(F.greatest(y, F.get(acc, F.size(acc) - 1) + gap)))))
+    over = lambda x: F.greatest(F.lit(0.0), F.coalesce(F.get(x, F.size(x) - 1), F.lit(0.0)) - hi)
+    slid = F.element_at(F.transform(F.array(push), lambda x: F.transform(x, lambda y: y - over(x))), 1)
+    pull = F.aggregate(F.reverse(slid), none, lambda acc, y: F.concat(F.array(F.when(F.size(acc) == 0, y).otherwise(F.least(y, F.get(acc, F.lit(0)) - gap))), acc))
+    return F.transform(pull, lambda y: F.greatest(F.lit(lo), y))
+
+
+def pasted(cell: Column, size: Column, frame: Column) -> Column:
+    """N-12: where a frame begins that stands in the middle of the cell of that number, along one axis."""
+    return cell * size + F.floor((size - frame) / 2)

@@ -69,11 +69,76 @@ def is_correct(pred: Column, gold: Column) -> Column:
     return F.upper(pytrim(pred)) == F.upper(pytrim(gold))
 
 
+def fixed(x: Column, places: int = 1) -> Column:
+    """A number with 0 to 2 decimals as printf writes it: by its exact binary value, with ties to even. format_string rounds the shortest decimal text instead."""
+    one, ten = 1 << 52, 10**places
+    size = F.abs(x.cast("double"))
+    whole = F.floor(size).cast("bigint")
+    scaled = (size - whole) * float(one)  # the fraction in units of 2^-52; small numbers have more bits than that
+    more = (scaled - F.floor(scaled)) * ten
+    n = F.floor(scaled).cast("bigint") * ten + F.floor(more).cast("bigint")
+    rest = F.pmod(n, F.lit(one))
+    part = ((n - rest) / F.lit(float(one))).cast("bigint")
+    last = whole * ten + part
+    up = (rest > one // 2) | ((rest == one // 2) & ((more > F.floor(more)) | (last % 2 == 1)))
+    last = last + F.when(up, 1).otherwise(0)
+    sign = F.when((x < 0), "-").otherwise("")
+    return F.concat(sign, F.format_string("%d", last) if not places else F.format_string(f"%d.%0{places}d", F.floor(last / ten).cast("bigint"), last % ten))
+
+
+def normpath(path: Column) -> Column:
+    """P-08: a path without empty, '.' and resolvable '..' parts; '' is '.'. A leading slash stays, and '..' beyond the root goes."""
+    rooted = F.startswith(path, F.lit("/"))
+
+    def step(acc, x):
+        up = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1) != "..")
+        pop = F.slice(acc, 1, F.size(acc) - 1)
+        return F.when(x != "..", F.concat(acc, F.array(x))).when(up, pop).when(rooted, acc).otherwise(F.concat(acc, F.array(x)))
+
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    out = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(rooted, F.concat(F.lit("/"), out)).when(out == "", F.lit(".")).otherwise(out)
+
+
+def current_summary(line: Column, version: str) -> Column:
+    """F-11: a JSON line with a summary, without an error, and of the current version, as which a line without the key counts, but not one with a null."""
+    row = F.try_parse_json(line)
+    text = lambda k: F.coalesce(F.try_variant_get(row, f"$.{k}", "string"), F.lit(""))
+    keyed = F.coalesce(F.array_contains(F.json_object_keys(line), "prompt_ver"), F.lit(False))
+    return (text("summary") != "") & (text("error") == "") & (~keyed | (text("prompt_ver") == version))
+
+
+def normalized(question: Column, answer: Column) -> Column:
+    """P-05: (question, answer, flags) of a raw question text and an answer as JSON.
+
+    A question that is itself a JSON text broken by inner quotes is recovered by its keys; an answer that is an object gives its correct
+    option, else its answer. Flags name what was found, in that order.
+    """
+    encoded = F.startswith(F.ltrim(question), F.lit("{"))
+    inner = F.regexp_extract(question, r'(?s)"question":\s*"(.*?)",\s*\n\s*"options"', 1)
+    option = F.regexp_count(question, F.lit(r'(?s)"[ABCD]":\s*"(.*?)"(?=,\n|\n\s*\})')) > 0
+    told = F.regexp_extract(question, r'"(?:correct_option|answer)":\s*"([ABCD])"', 1)
+    recovered = encoded & (inner != "") & option & (told != "")
+    value = F.try_parse_json(answer)
+    held = F.startswith(F.ltrim(answer), F.lit("{"))
+    plain = F.when(held, F.lit(None)).otherwise(F.try_variant_get(value, "$", "string"))
+    filled = ~held & F.coalesce(plain != "", F.lit(False))
+    from_object = F.coalesce(F.nullif(F.try_variant_get(value, "$.correct_option", "string"), F.lit("")), F.try_variant_get(value, "$.answer", "string"))
+    found = F.when(held, from_object).when(filled, plain).when(recovered, told)
+    missing = F.coalesce(found, F.lit("")) == ""
+    flags = [
+        F.when(recovered, F.lit("double_encoded_question")).when(encoded, F.lit("unparseable_question_json")),
+        F.when(held, F.lit("dict_answer")),
+        F.when(missing, F.lit("missing_answer")),
+    ]
+    return F.struct(F.when(recovered, inner).otherwise(question).alias("question"), F.when(~missing, found).alias("answer"), F.array_compact(F.array(*flags)).alias("flags"))
+
+
 def extract_letter(t: Column, candidates: Column) -> Column:
     """X-06: 'answer: x' first; else the first lone letter that starts a candidate; else the first lone letter; else the first character."""
     low = F.lower(t)
     explicit = F.regexp_extract(low, "answer\\s*[:=]\\s*\\(?([a-z])\\)?", 1)
-    alone = F.regexp_extract_all(low, F.lit("\\b([a-z])\\b"), F.lit(1))
+    alone = F.regexp_extract_all(low, F.lit("(?<![\\p{L}\\p{N}_])([a-z])(?![\\p{L}\\p{N}_])"), F.lit(1))  # words of any script, as \\b would have it
     valid = F.transform(candidates, lambda c: F.lower(F.left(pytrim(c), F.lit(1))))
     good = F.filter(alone, lambda x: F.array_contains(valid, x))
     return F.when(explicit != "", explicit).when(F.size(good) > 0, F.get(good, F.lit(0))).when(F.size(alone) > 0, F.get(alone, F.lit(0))).otherwise(F.left(pytrim(low), F.lit(1)))

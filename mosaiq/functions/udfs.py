@@ -61,10 +61,14 @@ def allocate_frames(weights: pd.Series, budget: pd.Series, floor: pd.Series, cap
 
 
 class Porter:
-    """Porter's stemmer of 1980, as a table of rules for each step. Words of up to three letters stay as they are."""
-
-    # The suffix rules of the published algorithm, (suffix, replacement), longest match first.
-    STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
+    """Porter's stemmer with the extended rules that the usual ROUGE scorers apply; words of up to three letters stay as they are."""
+
+    # Irregular words, and the suffix rules, (suffix, replacement), in the order in which they are tried.
+    IRREGULAR = {
+        "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing",
+        "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
+    }
+    STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful"), ("logi", "log")]
     STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
     STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
@@ -80,48 +84,66 @@ class Porter:
         return len(re.findall("v+c", self.shape(w)))
 
     def cvc(self, w: str) -> bool:
-        return self.shape(w)[-3:] == "cvc" and w[-1] not in "wxy"
-
-    def table(self, w: str, rules, least: int) -> str:
-        for suffix, new in sorted(rules, key=lambda r: -len(r[0])):
+        """Whether a word ends like a short syllable; two letters, vowel and consonant, are one too."""
+        shape = self.shape(w)
+        return (shape[-3:] == "cvc" and w[-1] not in "wxy") or shape == "vc"
+
+    def plural(self, w: str) -> str:
+        if w.endswith("ies"):
+            return w[:-1] if len(w) == 4 else w[:-2]
+        if w.endswith("sses"):
+            return w[:-2]
+        return w if w.endswith("ss") or not w.endswith("s") else w[:-1]
+
+    def past(self, w: str) -> str:
+        if w.endswith("ied"):
+            return w[:-1] if len(w) == 4 else w[:-2]
+        if w.endswith("eed"):
+            return w[:-1] if self.measure(w[:-3]) > 0 else w
+        stem = next((w[: -len(x)] for x in ("ed", "ing") if w.endswith(x) and "v" in self.shape(w[: -len(x)])), None)
+        if stem is None:
+            return w
+        if stem.endswith(("at", "bl", "iz")):
+            return stem + "e"
+        if len(stem) > 1 and stem[-1] == stem[-2] and self.shape(stem)[-1] == "c":
+            return stem if stem[-1] in "lsz" else stem[:-1]
+        return stem + "e" if self.measure(stem) == 1 and self.cvc(stem) else stem
+
+    def suffixed(self, w: str) -> str:
+        if w.endswith("alli") and self.measure(w[:-4]) > 0:
+            return self.suffixed(w[:-2])
+        for suffix, new in self.STEP2:
             if w.endswith(suffix):
-                stem = w[: len(w) - len(suffix)]
-                return stem + new if self.measure(stem) > least else w
+                stem = w[: -len(suffix)]
+                base = w[:-3] if suffix == "logi" else stem  # its l counts as the stem's
+                return stem + new if self.measure(base) > 0 else w
         return w
 
     def stem(self, w: str) -> str:
         if len(w) <= 3:
             return w
-        for suffix, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
+        if w in self.IRREGULAR:
+            return self.IRREGULAR[w]
+        w = self.past(self.plural(w))
+        if w.endswith("y") and len(w) > 2 and self.shape(w[:-1])[-1] == "c":
+            w = w[:-1] + "i"
+        w = self.suffixed(w)
+        for suffix, new in self.STEP3:
             if w.endswith(suffix):
-                w = w[: len(w) - len(suffix)] + new
+                w = w[: -len(suffix)] + new if self.measure(w[: -len(suffix)]) > 0 else w
                 break
-        if w.endswith("eed"):
-            w = w[:-1] if self.measure(w[:-3]) > 0 else w
-        else:
-            for suffix in ("ed", "ing"):
-                stem = w[: len(w) - len(suffix)]
-                if w.endswith(suffix) and "v" in self.shape(stem):
-                    w = stem
-                    if w.endswith(("at", "bl", "iz")):
-                        w += "e"
-                    elif len(w) > 1 and w[-1] == w[-2] and self.shape(w)[-1] == "c" and w[-1] not in "lsz":
-                        w = w[:-1]
-                    elif self.measure(w) == 1 and self.cvc(w):
-                        w += "e"
-                    break
-        if w.endswith("y") and "v" in self.shape(w[:-1]):
-            w = w[:-1] + "i"
-        w = self.table(self.table(w, self.STEP2, 0), self.STEP3, 0)
-        for suffix in sorted(self.STEP4, key=len, reverse=True):
+        for suffix in self.STEP4:
             if w.endswith(suffix):
-                stem = w[: len(w) - len(suffix)]
-                if self.measure(stem) > 1 and (suffix != "ion" or stem[-1:] in ("s", "t")):
+                stem = w[: -len(suffix)]
+                if suffix != "ion":
+                    w = stem if self.measure(stem) > 1 else w
+                    break
+                if self.measure(stem) > 1 and stem[-1:] in ("s", "t"):
                     w = stem
                 break
         if w.endswith("e") and (self.measure(w[:-1]) > 1 or (self.measure(w[:-1]) == 1 and not self.cvc(w[:-1]))):
             w = w[:-1]
-        return w[:-1] if w.endswith("ll") and self.measure(w) > 1 else w
+        return w[:-1] if w.endswith("ll") and self.measure(w[:-1]) > 1 else w
 
 
 def _tokens(text: str | None, porter: Porter, known: dict[str, str]) -> list[str]:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import pystr
+from ..functions.text import fixed, pystr
 
 STRATA = ("task_type", "orig_num_cameras", "source", "cap_answer_safe")
 
@@ -22,15 +22,6 @@ def accuracy() -> list[Column]:
     return [right.alias("n_correct"), F.count("*").alias("n"), F.try_divide(right.cast("double"), F.count("*")).alias("acc")]
 
 
-def percentile(x: Column, q: float) -> Column:
-    """A-05: nearest rank with halves to even, nulls left out, null if nothing is left.
-
-    The values of a group are taken as counts of distinct values, so a group's state is bounded by its distinct values.
-    """
-    values = F.array_sort(F.collect_list(x))
-    return F.get(values, F.rint(F.lit(q) * (F.count(x) - 1)).cast("int"))
-
-
 def percentiles(df: DataFrame, keys: list[str], x: str, qs: dict[str, float]) -> DataFrame:
     """A-05 without collecting groups: a value's rank range comes from counts of equal values, so only distinct values are ordered."""
     counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("c"))
@@ -75,6 +66,19 @@ def summary(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return got.join(lat, same, "left").select(*[got[c] for c in got.columns], "latency_p50", "latency_p95")
 
 
+def summary_lines(calls: float = 1.0) -> list[Column]:
+    """A-36: the lines of a text report on a row of summary(): overall, latency (null without latencies) and tokens (null without counts)."""
+    percent = lambda c, places: fixed(F.col(c) * 100, places)
+    overall = F.format_string("%d/%d = %s%%   abstain=%s%%  errors=%d", "n_correct", "n", percent("acc", 1), percent("abstain_rate", 0), "errors")
+    latency = F.format_string("p50=%s p95=%s mean=%s", *[fixed(F.col(f"latency_{c}")) for c in ("p50", "p95", "mean")])
+    tokens = F.format_string(f"in~%s out~%s calls~{calls:.1f}", fixed(F.col("input_tokens_mean"), 0), fixed(F.col("output_tokens_mean"), 0))
+    return [
+        F.when(F.col("n") > 0, overall).otherwise("(no rows)").alias("overall"),
+        F.when(F.col("latency_p50").isNotNull(), latency).alias("latency"),
+        F.when(F.col("input_tokens_mean").isNotNull(), tokens).alias("tokens"),
+    ]
+
+
 def pass_accuracy(df: DataFrame, keys: list[str]) -> DataFrame:
     """A-07: one accuracy per group and pass; the order of a list of passes is that of the pass as text."""
     return df.groupBy(*keys, pystr(F.col("pass_idx")).alias("pass")).agg(*accuracy())
@@ -127,6 +131,14 @@ def sweep(df: DataFrame, frames: dict[str, int]) -> DataFrame:
     return got.select("category", "budget", (F.col("mean") * 100).alias("mean"), (F.col("std") * 100).alias("std"), "n_passes")
 
 
+def panels(df: DataFrame, frames: dict[str, int]) -> DataFrame:
+    """A-17: (category, n) of the categories that the smallest budget's rows hold, 'Overall' too; n is the number of rows by that of passes, whole."""
+    least = min(frames, key=frames.get)
+    fanned = df.where(F.col("method") == least).withColumn("category", F.explode(F.array(F.lit("Overall"), F.col("task_type"))))
+    per = fanned.groupBy("category", "pass_idx").agg(F.count("*").alias("t"))
+    return per.groupBy("category").agg(F.expr("sum(t) div count(*)").alias("n"))
+
+
 def gains(swept: DataFrame, chance: DataFrame, default: float = 25.0) -> DataFrame:
     """A-17, A-20, J-09: per category the gain from the smallest to the largest budget, the best budget (the smallest of equals), and its margin over chance."""
     first, last = F.min_by("mean", "budget"), F.max_by("mean", "budget")
@@ -143,6 +155,16 @@ def chance(df: DataFrame, key: str = "task_type", options: str = "n_options") ->
     )
 
 
+def estimate(n: Column, strategy: Column, frames: Column, price_in: Column, price_out: Column) -> Column:
+    """A-31: rough USD before a run; null without a price. 800 tokens a frame and 400 of text go in, 64 come out of one call a question;
+    decentralised, three cameras send 512 tokens each to a last call that answers with 16."""
+    frame, text, cameras, told = 800, 400, 3, 512
+    apart = strategy == "decentralized"
+    given = F.when(apart, cameras * (frames * frame + text) + (cameras * told + text)).otherwise(frames * frame + text)
+    got = F.when(apart, F.lit(cameras * told + 16)).otherwise(F.lit(64))
+    return n * (given / 1e6 * price_in + got / 1e6 * price_out)
+
+
 def costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """J-02: calls with their cost in USD; models without a price cost nothing."""
     joined = calls.join(prices, "model", "left")

@@ -6,10 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def placed(df: DataFrame, group: list[str], key: str, name: str = "place", block: int = 1 << 16) -> DataFrame:
+    """Adds the place, from 0, of each row among those of its group, in order of a unique whole number: places within blocks of numbers, and the sizes of the blocks before."""
+    rows = df.withColumn("_b", F.floor(F.col(key) / block))
+    sizes = rows.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.row_number().over(Window.partitionBy(*group, "_b").orderBy(key)) - 1
+    wide = rows.withColumn("_at", at).join(sizes.select(*group, "_b", before.alias("_s")), [*group, "_b"])
+    return wide.withColumn(name, (F.col("_s") + F.col("_at")).cast("long")).select(*df.columns, name)
+
+
 def shard(df: DataFrame, group: str, key: str, n: int, i: int) -> DataFrame:
     """F-04, W-02: the i-th of n shards, by position of the sorted key within a group."""
-    at = F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1
-    return df.withColumn("_at", at).where(F.col("_at") % n == i).drop("_at")
+    return placed(df, [group], key, "_at").where(F.col("_at") % n == i).drop("_at")
+
+
+def drop_reason(kept_type: Column, is_mcq: Column, answer: Column, flags: Column, cameras: Column, options: Column, local: Column, least: int = 2) -> Column:
+    """F-05: the first reason to leave a question out, or 'kept': type, open-ended, bad answer, flagged, no video, few options, missing local files."""
+    letter = F.upper(F.trim(F.coalesce(answer, F.lit("")))).isin("A", "B", "C", "D")
+    flagged = F.arrays_overlap(flags, F.array(F.lit("missing_answer"), F.lit("unparseable_question_json")))
+    reasons = [
+        (~kept_type, "drop_type"), (~is_mcq, "drop_open_ended"), (~letter, "drop_bad_answer"), (F.coalesce(flagged, F.lit(False)), "drop_flagged"),
+        (cameras == 0, "drop_no_video"), (options < least, "drop_few_options"), (local < cameras, "drop_missing_local"),
+    ]
+    return F.coalesce(*[F.when(c, r) for c, r in reasons], F.lit("kept"))
 
 
 def bucket(k: Column) -> Column:
@@ -43,11 +63,11 @@ def starved(pool: DataFrame, q: str = "qid", clip: str = "clip") -> DataFrame:
     return per.groupBy(q).agg(F.count("*").alias("n_clips"), (F.count("*") - F.sum("seen")).alias("starved"))
 
 
-def greedy_prefix(df: DataFrame, size: str, tie: str, budget: Column, most: Column) -> DataFrame:
+def greedy_prefix(df: DataFrame, size: str, tie: str, budget: Column, most: int) -> DataFrame:
     """W-08: cheapest first while the running total is within the budget; the first is always taken; at most so many; a budget of 0 doesn't bind."""
     order = Window.partitionBy(F.lit(0)).orderBy(size, tie)
-    ranked = df.withColumn("rn", F.row_number().over(order)).withColumn("cum", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.where(((F.col("rn") == 1) | (budget == 0) | (F.col("cum") <= budget)) & (F.col("rn") <= most))
+    ranked = df.orderBy(size, tie).limit(most).withColumn("rn", F.row_number().over(order)).withColumn("cum", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return ranked.where(((F.col("rn") == 1) | (budget == 0) | (F.col("cum") <= budget)))
 
 
 def cost_cut(calls: DataFrame, cap: float, seq: str = "seq", block: int = 1 << 16) -> DataFrame:
@@ -112,6 +132,12 @@ def bracketing(episodes: DataFrame, tars: DataFrame, width: int) -> DataFrame:
     return episodes.join(first, ["task", "episode"], "left")
 
 
+def listed(wanted: DataFrame, listing: DataFrame, keys: list[str], key: str) -> DataFrame:
+    """J-04: what is wanted with the key listed for it, of several the last; what isn't listed is marked missing."""
+    last = listing.groupBy(*keys).agg(F.max(key).alias(key))
+    return wanted.join(last, keys, "left").withColumn("missing", F.col(key).isNull())
+
+
 def complete(questions: DataFrame, clips: DataFrame, present: DataFrame) -> tuple[DataFrame, DataFrame]:
     """J-05: the questions all of whose clips are present, and the others with their first missing clip."""
     missing = clips.join(present, "path", "left_anti").groupBy("qid").agg(F.min_by("path", "slot").alias("first_missing"))

@@ -166,12 +166,15 @@ _CHANCE = "SELECT coalesce(task_type, 'pooled') AS category, count(*) AS n, 100.
 @query(
     "a17_sweep_gains",
     oracle(f"""SELECT category, round(arg_max(mean, budget) - arg_min(mean, budget), 6) AS gain, arg_max(budget, mean * 1000 - budget * 1e-9) AS best_budget, round(max(mean), 6) AS best, round(coalesce(max(chance), 25.0), 6) AS chance,
-round(max(mean) - coalesce(max(chance), 25.0), 6) AS margin FROM ({_SWEEP}) LEFT JOIN (SELECT 'task_' || (row_number() OVER (ORDER BY category) - 1) AS category, chance FROM ({_CHANCE}) WHERE category <> 'pooled') USING (category) GROUP BY category"""),
+round(max(mean) - coalesce(max(chance), 25.0), 6) AS margin, max(k.n)::BIGINT AS n FROM ({_SWEEP}) JOIN (SELECT category, sum(t) // count(*) AS n FROM (SELECT category, pass_idx, count(*) AS t
+FROM (SELECT 'Overall' AS category, pass_idx, method FROM v_result UNION ALL SELECT task_type, pass_idx, method FROM v_result) WHERE method = 'signup' GROUP BY category, pass_idx) GROUP BY category) k USING (category) LEFT JOIN (SELECT 'task_' || (row_number() OVER (ORDER BY category) - 1) AS category, chance FROM ({_CHANCE}) WHERE category <> 'pooled') USING (category) GROUP BY category"""),
 )
 def a17(spark, d):
     base = metrics.chance(view(spark, d, "v_question")).where("category != 'pooled'")
     named = base.select(F.concat(F.lit("task_"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("category")) - 1).cast("string")).alias("category"), "chance")
-    return r6(metrics.gains(metrics.sweep(view(spark, d, "v_result"), FRAMES), named), "gain", "best", "chance", "margin")
+    rows = view(spark, d, "v_result")
+    got = metrics.gains(metrics.sweep(rows, FRAMES), named).join(metrics.panels(rows, FRAMES), "category")
+    return r6(got, "gain", "best", "chance", "margin")
 
 
 @query("a18_chance", oracle(f"SELECT category, n, round(chance, 6) AS chance FROM ({_CHANCE})"))
@@ -259,9 +262,10 @@ def a27(spark, d):
     return sql(spark, d, "SELECT DISTINCT concat('videos/', l_returnflag, '/', CAST(l_partkey AS STRING), '.', CAST(l_linenumber AS STRING), '.mp4') AS path FROM lineitem")
 
 
-@query("a28_first_seen", oracle("SELECT path, min(qid * 100 + slot) AS first_pos FROM v_clip GROUP BY path"))
+@query("a28_first_seen", oracle("SELECT path, qid, slot FROM (SELECT path, qid, slot, row_number() OVER (PARTITION BY path ORDER BY qid, slot) AS rn FROM v_clip) WHERE rn = 1"))
 def a28(spark, d):
-    return view(spark, d, "v_clip").groupBy("path").agg(F.min(F.col("qid") * 100 + F.col("slot")).alias("first_pos"))
+    first = view(spark, d, "v_clip").groupBy("path").agg(F.min(F.struct("qid", "slot")).alias("first"))
+    return first.select("path", "first.qid", "first.slot")
 
 
 @query("a29_paths_per_group", oracle("SELECT qid, string_agg(DISTINCT path, ';' ORDER BY path) AS paths FROM v_clip GROUP BY qid"))
@@ -283,10 +287,16 @@ def a30(spark, d):
     return r6(got.agg(F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum("usd").alias("usd")), "usd")
 
 
-@query("a31_cost_estimate", oracle(f"SELECT m.model, n, CAST(n * (800 / 1e6 * price_in + 400 / 1e6 * price_out) AS DECIMAL(18, 4)) AS usd FROM (SELECT model, count(*) AS n FROM v_call GROUP BY model) m LEFT JOIN {_PRICES} ON m.model = p.model"))
+_TOKENS = "SELECT *, CASE strategy WHEN 'decentralized' THEN 3 * (frames * 800 + 400) + 3 * 512 + 400 ELSE frames * 800 + 400 END AS in_tok, CASE strategy WHEN 'decentralized' THEN 3 * 512 + 16 ELSE 64 END AS out_tok"
+_PLANS = "(VALUES ('uniform'), ('stitched'), ('decentralized')) s(strategy) CROSS JOIN (VALUES (8), (16), (64)) f(frames)"
+
+
+@query("a31_cost_estimate", oracle(f"SELECT model, strategy, frames, n, CAST(n * (in_tok / 1e6 * price_in + out_tok / 1e6 * price_out) AS DECIMAL(18, 4)) AS usd FROM ({_TOKENS} FROM (SELECT m.model, n, price_in, price_out FROM (SELECT model, count(*) AS n FROM v_call GROUP BY model) m LEFT JOIN {_PRICES} ON m.model = p.model) c CROSS JOIN {_PLANS})"))
 def a31(spark, d):
-    got = view(spark, d, "v_call").groupBy("model").agg(F.count("*").alias("n")).join(prices(spark), "model", "left")
-    return got.select("model", "n", (F.col("n") * (F.lit(800 / 1e6) * F.col("price_in") + F.lit(400 / 1e6) * F.col("price_out"))).cast("decimal(18,4)").alias("usd"))
+    plans = F.array(*[F.struct(F.lit(s).alias("strategy"), F.lit(n).alias("frames")) for s in ("uniform", "stitched", "decentralized") for n in (8, 16, 64)])
+    calls = view(spark, d, "v_call").groupBy("model").agg(F.count("*").alias("n")).join(prices(spark), "model", "left")
+    rows = calls.withColumn("p", F.explode(plans)).select("*", "p.*")
+    return rows.select("model", "strategy", "frames", "n", metrics.estimate(F.col("n"), F.col("strategy"), F.col("frames"), F.col("price_in"), F.col("price_out")).cast("decimal(18,4)").alias("usd"))
 
 
 _CLAIM = "SELECT pair_key, (count(*) FILTER (WHERE verdict = 'YES') + 0.5::DOUBLE * count(*) FILTER (WHERE verdict = 'PARTIAL')) / count(*) AS score FROM v_verdict GROUP BY pair_key"
@@ -318,10 +328,22 @@ def a35(spark, d):
     return once.groupBy("method", "backend").agg(F.sum("input_tokens").alias("selector_tokens"), F.count("*").alias("questions"))
 
 
-@query("a36_summary_lines", oracle("SELECT method, printf('%s: %.1f%% (%d/%d), %.0f tokens', method, 100.0 * count(*) FILTER (WHERE correct) / count(*), count(*) FILTER (WHERE correct), count(*), avg(input_tokens)) AS line FROM v_result GROUP BY method"))
+_RANK = "max(latency_s) FILTER (WHERE k = round_even({q} * (m - 1), 0) + 1)"
+
+
+@query("a36_summary_lines", oracle(f"""WITH g AS (SELECT method, backend, count(*) AS total, count(*) FILTER (WHERE correct) AS right_, count(*) FILTER (WHERE abstained) AS gone, count(*) FILTER (WHERE error <> '') AS errors, avg(latency_s) AS lat, avg(input_tokens) AS tin, avg(output_tokens) AS tout FROM v_result GROUP BY ALL),
+r AS (SELECT method, backend, latency_s, row_number() OVER (PARTITION BY method, backend ORDER BY latency_s) AS k, count(*) OVER (PARTITION BY method, backend) AS m FROM v_result WHERE latency_s IS NOT NULL),
+p AS (SELECT method, backend, {_RANK.format(q=0.5)} AS p50, {_RANK.format(q=0.95)} AS p95 FROM r GROUP BY ALL),
+t AS (SELECT method, backend, string_agg(task_type || ' ' || c || '/' || n, ', ' ORDER BY task_type) AS types FROM (SELECT method, backend, task_type, count(*) FILTER (WHERE correct) AS c, count(*) AS n FROM v_result GROUP BY ALL) GROUP BY ALL)
+SELECT g.method || '/' || g.backend AS key, printf('%d/%d = %.1f%%   abstain=%.0f%%  errors=%d', right_, total, 100.0 * right_ / total, 100.0 * gone / total, errors) AS overall,
+printf('p50=%.1f p95=%.1f mean=%.1f', p50, p95, lat) AS latency, printf('in~%.0f out~%.0f calls~1.0', tin, tout) AS tokens, types FROM g JOIN p USING (method, backend) JOIN t USING (method, backend)"""))
 def a36(spark, d):
-    got = view(spark, d, "v_result").groupBy("method").agg(*metrics.accuracy(), F.avg("input_tokens").alias("tokens"))
-    return got.select("method", F.format_string("%s: %.1f%% (%d/%d), %.0f tokens", "method", F.col("acc") * 100, "n_correct", "n", "tokens").alias("line"))
+    rows = view(spark, d, "v_result")
+    s = metrics.summary(rows, ["method", "backend"])
+    listed = s.where("dim = 'task_type'").groupBy("method", "backend").agg(F.array_sort(F.collect_list(F.struct("key", "n_correct", "n"))).alias("l"))
+    types = listed.select("method", "backend", F.array_join(F.transform("l", lambda x: F.format_string("%s %d/%d", x["key"], x["n_correct"], x["n"])), ", ").alias("types"))
+    whole = s.where("dim = 'overall'").join(types, ["method", "backend"])
+    return whole.select(F.concat_ws("/", "method", "backend").alias("key"), *metrics.summary_lines(), "types")
 
 
 @query("a37_coverage", oracle("SELECT task, sum(size_gb)::BIGINT AS gb, count(*) FILTER (WHERE lo % 20 = 0) AS present, count(*) FILTER (WHERE lo % 20 <> 0) AS missing FROM v_tar GROUP BY task"))

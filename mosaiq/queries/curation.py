@@ -36,12 +36,18 @@ def f04(spark, d):
     return planning.shard(view(spark, d, "v_question").select("id", "task_type"), "task_type", "id", 4, 1)
 
 
-@query("f05_drop_cascade", oracle(f"SELECT id, {_DROP} AS reason FROM v_question"))
+_MORE = "id % 11 = 0 AS open_ended, CASE WHEN id % 13 = 0 THEN 'missing_answer' WHEN id % 13 = 1 THEN 'unparseable_question_json' WHEN id % 13 = 2 THEN 'dict_answer' END AS flag"
+
+
+@query("f05_drop_cascade", oracle(f"""SELECT id, CASE WHEN task_type NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED') THEN 'drop_type' WHEN open_ended THEN 'drop_open_ended' WHEN upper(answer) NOT IN ('A', 'B', 'C', 'D') THEN 'drop_bad_answer'
+WHEN flag IN ('missing_answer', 'unparseable_question_json') THEN 'drop_flagged' WHEN orig_num_cameras = 0 THEN 'drop_no_video' WHEN n_options < 3 THEN 'drop_few_options' WHEN here < orig_num_cameras THEN 'drop_missing_local' ELSE 'kept' END AS reason
+FROM (SELECT *, {_MORE}, coalesce((SELECT count(*) FROM lineitem WHERE l_orderkey = id AND l_quantity > 5), 0) AS here FROM v_question)"""))
 def f05(spark, d):
-    q = view(spark, d, "v_question")
-    reasons = [(F.col("task_type") == "5-LOW", "drop_type"), (~F.col("answer").isin("A", "B", "C", "D"), "drop_answer"), (F.col("orig_num_cameras") == 0, "drop_no_video"), (F.col("n_options") < 3, "drop_options")]
-    first = F.coalesce(*[F.when(c, r) for c, r in reasons], F.lit("kept"))
-    return q.select("id", first.alias("reason"))
+    here = table(spark, d, "lineitem").where("l_quantity > 5").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("here"))
+    q = view(spark, d, "v_question").selectExpr("*", _MORE.split(", CASE")[0], "CASE" + _MORE.split(", CASE")[1]).join(here, "id", "left")
+    q = q.withColumn("flags", F.when(F.col("flag").isNull(), F.array().cast("array<string>")).otherwise(F.array("flag")))
+    reason = planning.drop_reason(F.col("task_type").isin("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"), ~F.col("open_ended"), F.col("answer"), F.col("flags"), F.col("orig_num_cameras"), F.col("n_options"), F.coalesce("here", F.lit(0)), least=3)
+    return q.select("id", reason.alias("reason"))
 
 
 @query("f06_letter_answers", oracle("SELECT id, upper(trim(answer)) AS answer FROM v_question WHERE upper(trim(answer)) IN ('A', 'B', 'C', 'D')"))
@@ -75,11 +81,13 @@ def f10(spark, d):
     return table(spark, d, "events").select("event_id", X.clean_null(raw).alias("v"))
 
 
-@query("f11_cache_rows", "SELECT event_id FROM events WHERE event_type <> 'error' AND event_id % 101 <> 0 AND event_id % 7 <> 1")
+@query("f11_cache_rows", "SELECT event_id FROM events WHERE event_type <> 'error' AND event_id % 101 <> 0 AND event_id % 7 NOT IN (1, 2)")
 def f11(spark, d):
-    e = table(spark, d, "events").select("event_id", F.when(F.col("event_type") != "error", F.col("event_type")).otherwise("").alias("summary"), F.when(F.col("event_id") % 101 == 0, "oom").alias("error"))
-    e = e.withColumn("prompt_ver", F.when(F.col("event_id") % 7 == 1, "v2").when(F.col("event_id") % 7 == 2, F.lit(None)).otherwise("v1"))
-    return e.where((F.coalesce("summary", F.lit("")) != "") & (F.coalesce("error", F.lit("")) == "") & (F.coalesce("prompt_ver", F.lit("v1")) == "v1")).select("event_id")
+    i = F.col("event_id")
+    summary = F.when(F.col("event_type") != "error", F.col("event_type")).otherwise("")
+    version = F.when(i % 7 == 1, F.lit(', "prompt_ver": "v2"')).when(i % 7 == 2, F.lit(', "prompt_ver": null')).when(i % 7 == 3, F.lit("")).otherwise(F.lit(', "prompt_ver": "v1"'))
+    line = F.concat(F.lit('{"summary": "'), summary, F.when(i % 101 == 0, F.lit('", "error": "oom"')).otherwise(F.lit('"')), version, F.lit("}"))
+    return table(spark, d, "events").select("event_id", line.alias("line")).where(X.current_summary(F.col("line"), "v1")).select("event_id")
 
 
 @query("f12_sweep_legs", oracle("SELECT row_id, CASE method WHEN 'click' THEN 32 ELSE 64 END AS budget FROM v_result WHERE method IN ('click', 'view')"))
@@ -142,12 +150,19 @@ def p04(spark, d):
     return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
 
 
-@query("p05_double_encoded", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id % 2 = 0 AS recovered FROM events")
+_Q5, _A5 = "event_id % 4", "event_id % 5"
+
+
+@query("p05_double_encoded", f"""SELECT event_id, CASE {_Q5} WHEN 0 THEN 'Is "' || event_type || '" so?' WHEN 1 THEN '{{"question": broken' ELSE event_type END AS question,
+CASE WHEN {_A5} = 0 THEN 'B' WHEN {_A5} = 3 THEN 'D' WHEN {_A5} = 4 THEN 'A' WHEN {_Q5} = 0 THEN 'C' END AS answer,
+concat_ws(',', CASE {_Q5} WHEN 0 THEN 'double_encoded_question' WHEN 1 THEN 'unparseable_question_json' END, CASE WHEN {_A5} IN (0, 4) THEN 'dict_answer' END, CASE WHEN {_A5} IN (1, 2) AND {_Q5} <> 0 THEN 'missing_answer' END) AS flags FROM events""")
 def p05(spark, d):
-    e = table(spark, d, "events").withColumn("raw", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"question": "'), F.replace("props", F.lit('"'), F.lit('\\"')), F.lit('"}'))).otherwise(F.col("props")))
-    inner = F.replace(F.regexp_extract("raw", r'(?s)"question"\s*:\s*"(.*)"\s*}\s*$', 1), F.lit('\\"'), F.lit('"'))
-    fixed = F.when(inner != "", inner).otherwise(F.col("raw"))
-    return e.select("event_id", F.try_variant_get(F.try_parse_json(fixed), "$.k", "bigint").alias("k"), (inner != "").alias("recovered"))
+    encoded = F.concat(F.lit('{"question": "Is "'), F.col("event_type"), F.lit('" so?",\n "options": {"A": "x",\n "B": "y"\n },\n "correct_option": "C"}'))
+    i = F.col("event_id")
+    asked = F.when(i % 4 == 0, encoded).when(i % 4 == 1, F.lit('{"question": broken')).otherwise(F.col("event_type"))
+    answer = F.when(i % 5 == 0, F.lit('{"correct_option": "B", "answer": "E"}')).when(i % 5 == 4, F.lit('{"answer": "A"}')).when(i % 5 == 1, F.lit('""')).when(i % 5 == 2, F.lit("null")).otherwise(F.lit('"D"'))
+    got = X.normalized(asked, answer)
+    return table(spark, d, "events").select("event_id", got["question"].alias("question"), got["answer"].alias("answer"), F.array_join(got["flags"], ",").alias("flags"))
 
 
 def slots(spark, d):
@@ -170,9 +185,8 @@ def p07(spark, d):
 
 @query("p08_path_join", oracle("SELECT DISTINCT 'data/' || path AS full_path FROM v_clip"))
 def p08(spark, d):
-    raw = F.concat(F.lit("data//./"), "path")
-    clean = F.regexp_replace(F.regexp_replace(raw, "/(?:\\./)+", "/"), "/{2,}", "/")
-    return view(spark, d, "v_clip").select(clean.alias("full_path")).distinct()
+    raw = F.concat(F.lit("data/raw//./x/../../"), F.regexp_replace("path", "^videos/", "videos/old/.././"))
+    return view(spark, d, "v_clip").select(X.normpath(raw).alias("full_path")).distinct()
 
 
 @query("p09_path_parts", oracle("SELECT DISTINCT path, regexp_extract(path, '([^/]+)[.][^./]*$', 1) AS stem, split_part(path, '/', 2) AS part FROM v_clip"))

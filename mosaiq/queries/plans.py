@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import sampling as N
 from ..operators import metrics
 from ..plans import planning
 from ..registry import query
@@ -37,11 +38,14 @@ def j03(spark, d):
     return hit.unionByName(lost)
 
 
-@query("j04_listing", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, coalesce(e.event_id, -1) AS listed FROM orders LEFT JOIN (SELECT min(event_id) AS event_id, user_id FROM events GROUP BY user_id) e ON e.user_id = o_custkey")
+@query("j04_listing", """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, 'cam' || (o_custkey % 20) AS stem, key, key IS NULL AS missing FROM orders
+LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS day, 'cam' || (l_partkey % 20) AS stem, max(l_orderkey * 10 + l_linenumber) AS key FROM lineitem GROUP BY ALL) l ON l.day = CAST(o_orderdate AS DATE) AND l.stem = 'cam' || (o_custkey % 20)""")
 def j04(spark, d):
-    listing = table(spark, d, "events").groupBy(F.col("user_id").alias("o_custkey")).agg(F.min("event_id").alias("listed"))
-    wanted = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
-    return wanted.join(listing, "o_custkey", "left").select("o_orderkey", "day", F.coalesce("listed", F.lit(-1)).alias("listed"))
+    of = lambda c: F.concat(F.lit("cam"), (F.col(c) % 20).cast("string"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    listing = table(spark, d, "lineitem").select(day("l_shipdate").alias("day"), of("l_partkey").alias("stem"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"))
+    wanted = table(spark, d, "orders").select("o_orderkey", day("o_orderdate").alias("day"), of("o_custkey").alias("stem"))
+    return planning.listed(wanted, listing, ["day", "stem"], "key")
 
 
 _PRESENT = "contains(path, '/A/') OR contains(path, '/N/') OR contains(path, '.1.')"
@@ -125,8 +129,8 @@ def w01(spark, d):
 
 @query("w02_modulo_shards", oracle("SELECT task_type, (row_number() OVER (PARTITION BY task_type ORDER BY id) - 1) % 8 AS shard, id FROM v_question"))
 def w02(spark, d):
-    at = F.row_number().over(Window.partitionBy("task_type").orderBy("id")) - 1
-    return view(spark, d, "v_question").select("task_type", (at % 8).cast("long").alias("shard"), "id")
+    q = planning.placed(view(spark, d, "v_question").select("task_type", "id"), ["task_type"], "id")
+    return q.select("task_type", (F.col("place") % 8).alias("shard"), "id")
 
 
 _CUT = """WITH c AS (SELECT seq, c.model, ok, CAST(coalesce(prompt_tokens / 1e6 * price_in + completion_tokens / 1e6 * price_out, 0.0) AS DECIMAL(20, 6)) AS usd FROM v_call c LEFT JOIN {p} ON c.model = p.model),
@@ -169,7 +173,7 @@ def w07(spark, d):
 
 @query("w08_greedy_tars", oracle("SELECT tar_path, size_gb, cum::BIGINT AS cum FROM (SELECT *, row_number() OVER (ORDER BY size_gb, listing_pos) AS rn, sum(size_gb) OVER (ORDER BY size_gb, listing_pos ROWS UNBOUNDED PRECEDING) AS cum FROM v_tar) WHERE (rn = 1 OR cum <= 200) AND rn <= 10"))
 def w08(spark, d):
-    return planning.greedy_prefix(view(spark, d, "v_tar"), "size_gb", "listing_pos", F.lit(200), F.lit(10)).select("tar_path", "size_gb", "cum")
+    return planning.greedy_prefix(view(spark, d, "v_tar"), "size_gb", "listing_pos", F.lit(200), 10).select("tar_path", "size_gb", "cum")
 
 
 @query("w09_temporal_order", oracle("SELECT qid, clip, string_agg(pos, ',' ORDER BY t, pos) AS frames FROM (SELECT qid, clip, pos, CASE WHEN score % 9 = 0 THEN 0 ELSE score END AS t FROM v_pool) GROUP BY qid, clip"))
@@ -179,13 +183,20 @@ def w09(spark, d):
     return view(spark, d, "v_pool").groupBy("qid", "clip").agg(F.array_join(F.transform(listed, lambda x: x["pos"].cast("string")), ",").alias("frames"))
 
 
-@query("w10_label_places", "SELECT i::INT AS i, CASE i WHEN 0 THEN 10.0 WHEN 1 THEN 12.0 WHEN 2 THEN 14.0 ELSE 30.0 END::DOUBLE AS y FROM range(4) t(i)")
+_GAP, _LO, _HI = 4.0, 30.0, 62.0
+
+
+@query("w10_label_places", oracle(f"""WITH t AS (SELECT method, task_type AS name, 100.0::DOUBLE * count(*) FILTER (WHERE correct) / count(*) AS y FROM v_result GROUP BY ALL),
+a AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY y, name) AS i FROM t), f AS (SELECT *, i * {_GAP} + max(y - i * {_GAP}) OVER (PARTITION BY method ORDER BY i) AS u FROM a),
+s AS (SELECT *, u - greatest(0.0, max(u) OVER (PARTITION BY method) - {_HI}) AS v FROM f),
+b AS (SELECT *, i * {_GAP} + min(v - i * {_GAP}) OVER (PARTITION BY method ORDER BY i DESC) AS w FROM s) SELECT method, name, round(greatest(w, {_LO}), 6) AS y FROM b"""))
 def w10(spark, d):
-    """Label positions moved apart to a least gap, in order."""
-    y = F.array(*map(F.lit, (10.0, 10.5, 14.0, 30.0)))
-    step = lambda acc, v: F.concat(acc, F.array(F.when(F.size(acc) == 0, v).otherwise(F.greatest(v, F.element_at(acc, -1) + 2.0))))
-    out = F.aggregate(y, F.array().cast("array<double>"), step)
-    return spark.range(1).select(F.posexplode(out).alias("i", "y"))
+    """Label positions moved apart: accuracy of each task type, by method."""
+    rows = view(spark, d, "v_result").groupBy("method", F.col("task_type").alias("name")).agg(*metrics.accuracy())
+    listed = rows.groupBy("method").agg(F.array_sort(F.collect_list(F.struct((F.lit(100.0) * F.col("n_correct") / F.col("n")).alias("y"), "name"))).alias("l"))
+    moved = N.apart(F.transform("l", lambda x: x["y"]), _GAP, _LO, _HI)
+    out = listed.select("method", F.explode(F.arrays_zip(F.transform("l", lambda x: x["name"]).alias("name"), moved.alias("y"))).alias("x"))
+    return out.select("method", "x.name", F.round("x.y", 6).alias("y"))
 
 
 @query("w11_examples", oracle("SELECT task_type, id FROM (SELECT task_type, id, row_number() OVER (PARTITION BY task_type ORDER BY id) - 1 AS place, count(*) OVER (PARTITION BY task_type) AS n FROM v_question WHERE n_options = 4) WHERE place = 7 % n"))

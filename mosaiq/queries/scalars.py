@@ -53,15 +53,15 @@ def x05(spark, d):
     return view(spark, d, "v_response").select("conv_id", "turn", X.is_correct(pred, gold).alias("correct"), (pred == "").alias("abstained"))
 
 
-_LONE = "regexp_extract_all(lower(response_text), '\\b([a-z])\\b', 1)"
+_WIDE = "regexp_replace(lower(response_text), '([^\\pL\\pN_])', '\\1\\1', 'g')"  # each separator twice, so that neighbours don't share one
+_LONE = f"regexp_extract_all({_WIDE}, '(?:^|[^\\pL\\pN_])([a-z])(?:$|[^\\pL\\pN_])', 1)"
 
 
 @query("x06_letter", oracle(f"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(response_text), 'answer\\s*[:=]\\s*\\(?[a-z]') THEN regexp_extract(lower(response_text), 'answer\\s*[:=]\\s*\\(?([a-z])', 1)
-WHEN len([x FOR x IN {_LONE} IF x IN ('a', 'b', 'c', 'd')]) > 0 THEN [x FOR x IN {_LONE} IF x IN ('a', 'b', 'c', 'd')][1] WHEN len({_LONE}) > 0 THEN {_LONE}[1] ELSE left(trim(lower(response_text)), 1) END AS letter FROM v_response WHERE regexp_full_match(response_text, '[ -~\\n]*')"""))
+WHEN len([x FOR x IN {_LONE} IF x IN ('a', 'b', 'c', 'd')]) > 0 THEN [x FOR x IN {_LONE} IF x IN ('a', 'b', 'c', 'd')][1] WHEN len({_LONE}) > 0 THEN {_LONE}[1] ELSE left(trim(lower(response_text)), 1) END AS letter FROM v_response"""))
 def x06(spark, d):
     options = F.array(*[F.lit(f"{x}. text") for x in "ABCD"])
-    ascii_only = view(spark, d, "v_response").where(F.col("response_text").rlike("^[ -~\\n]*\\z"))
-    return ascii_only.select("conv_id", "turn", X.extract_letter(F.col("response_text"), options).alias("letter"))
+    return view(spark, d, "v_response").select("conv_id", "turn", X.extract_letter(F.col("response_text"), options).alias("letter"))
 
 
 @query("x07_number", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN regexp_extract(props, '-?[0-9]+\\.?[0-9]*') WHEN event_id % 3 = 1 THEN '7.5' ELSE event_type END AS number FROM events")
@@ -228,11 +228,12 @@ def n11(spark, d):
     return q.select("qid", "slot", "n_rows", "n_cols", F.floor((F.col("slot") - 1) / F.col("n_cols")).alias("r"), ((F.col("slot") - 1) % F.col("n_cols")).alias("c"))
 
 
-@query("n12_cells", oracle("SELECT id, k, n_cols * 448 AS width, n_rows * 470 AS height FROM (SELECT id, orig_num_cameras AS k, CAST(ceil(sqrt(orig_num_cameras)) AS BIGINT) AS n_cols, CAST(ceil(orig_num_cameras / ceil(sqrt(orig_num_cameras))) AS BIGINT) AS n_rows FROM v_question WHERE orig_num_cameras > 0)"))
+@query("n12_cells", oracle("SELECT id, k, n_cols * 448 AS width, n_rows * 470 AS height, (448 - 320) // 2 AS x0, (n_rows - 1) * 470 + (470 - h) // 2 AS y0 FROM (SELECT id, orig_num_cameras AS k, 200 + id % 7 AS h, CAST(ceil(sqrt(orig_num_cameras)) AS BIGINT) AS n_cols, CAST(ceil(orig_num_cameras / ceil(sqrt(orig_num_cameras))) AS BIGINT) AS n_rows FROM v_question WHERE orig_num_cameras > 0)"))
 def n12(spark, d):
+    """The canvas, and where a frame of 320 pixels by 200 to 206 stands in the first cell of the last row."""
     rows, cols = N.grid(F.col("k"))
-    q = view(spark, d, "v_question").where("orig_num_cameras > 0").select("id", F.col("orig_num_cameras").alias("k"))
-    return q.select("id", "k", (cols * 448).alias("width"), (rows * (448 + 22)).alias("height"))
+    q = view(spark, d, "v_question").where("orig_num_cameras > 0").select("id", F.col("orig_num_cameras").alias("k"), (200 + F.col("id") % 7).alias("h"))
+    return q.select("id", "k", (cols * 448).alias("width"), (rows * (448 + 22)).alias("height"), N.pasted(F.lit(0), F.lit(448), F.lit(320)).cast("int").alias("x0"), N.pasted(rows - 1, F.lit(470), F.col("h")).cast("long").alias("y0"))
 
 
 @query("n13_tiling", """WITH s AS (SELECT i, j, row_number() OVER (ORDER BY i * j, i, j) AS o FROM range(1, 7) a(i), range(1, 7) b(j) WHERE i * j <= 6), p AS (SELECT DISTINCT p_size * 40 AS w, 480 AS h FROM part),

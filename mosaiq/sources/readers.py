@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REQUIRED = ("question", "answer", "video_paths")
-#: Categories of datasets without a configuration, in order.
-DEFAULT_CATEGORIES: dict[str, list[str]] = {}
 
 
 def file_name(path=None):
@@ -111,32 +109,78 @@ def results_tree(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("model", "dataset", "strategy", "category", F.explode("m").alias("key", "entry"))
 
 
+def _flow(text: str) -> dict[str, str]:
+    """A YAML flow map of plain values; an error if it is none."""
+    if not (text.startswith("{") and text.endswith("}")):
+        raise ValueError(text)
+    out = {}
+    for pair in filter(None, (x.strip() for x in text[1:-1].split(","))):
+        key, colon, value = pair.partition(":")
+        if not colon or ":" in value or not value.strip():
+            raise ValueError(pair)
+        out[key.strip().strip("\"'")] = value.strip()
+    return out
+
+
 def price_table(spark: SparkSession, text: str) -> DataFrame:
-    """S-09: (model, input, output, cached_input) of a YAML price list; anything that doesn't parse gives an empty table."""
-    rows, model = {}, None
-    for line in text.splitlines():
-        bare = line.split("#", 1)[0].rstrip()
-        if not bare.strip():
-            continue
-        name, _, value = bare.strip().partition(":")
-        name = name.strip("\"'")
-        if not value.strip():
-            model = name
-        elif value.strip().startswith("{"):
-            rows[name] = dict(x.split(":") for x in value.strip(" {}").split(","))
-        elif model:
-            rows.setdefault(model, {})[name] = value
-    out = []
-    for m, r in rows.items():
-        try:
-            v = {k.strip(): float(x) for k, x in r.items()}
-            out.append((m, v["input"], v["output"], v.get("cached_input")))
-        except (KeyError, ValueError):
-            continue
+    """S-09: (model, input, output, cached_input) of a YAML price list; a missing price is 0; a list that doesn't parse gives an empty table."""
+    rows: dict[str, dict[str, str]] = {}
+    model, out = None, []
+    try:
+        for line in text.splitlines():
+            bare = line.split("#", 1)[0].rstrip()
+            if not bare.strip():
+                continue
+            name, colon, value = bare.strip().partition(":")
+            name, value = name.strip("\"'"), value.strip()
+            if not colon:
+                raise ValueError(bare)
+            if bare[0] != " ":
+                model = name
+                rows[model] = _flow(value) if value else {}
+            elif model is None or not value:
+                raise ValueError(bare)
+            else:
+                rows[model][name] = value
+        for m, r in rows.items():
+            v = {k: float(x) for k, x in r.items()}
+            out.append((m, v.get("input", 0.0), v.get("output", 0.0), v.get("cached_input")))
+    except ValueError:
+        out = []
     return spark.createDataFrame(out, "model string, input double, output double, cached_input double")
 
 
-def categories(spark: SparkSession, configured: dict[str, list[str]] | None, defaults: dict[str, list[str]]) -> DataFrame:
+#: Question categories by dataset where no configuration says otherwise. Fixed values.
+DEFAULT_CATEGORIES = {
+    "nuscenes": ["counting", "spatial", "temporal", "event_ordering", "summarization"],
+    "meva": ["counting", "spatial", "temporal", "event_ordering", "best_camera", "summarization"],
+    "ego-exo4d": ["temporal", "event_ordering", "best_camera", "summarization"],
+    "agibot": ["temporal", "event_ordering", "summarization"],
+}
+
+
+def category_config(text: str | None) -> dict[str, list[str]]:
+    """S-02: dataset -> categories of a YAML text with one map ``categories`` of flow lists or of dashed items; {} if there is none or it doesn't parse."""
+    out: dict[str, list[str]] = {}
+    inside, name = False, None
+    for line in (text or "").splitlines():
+        bare = line.split("#", 1)[0].rstrip()
+        if not bare.strip():
+            continue
+        if bare[0] not in " -":
+            inside, name = bare.strip() == "categories:", None
+        elif inside and bare.strip().startswith("- ") and name:
+            out[name].append(bare.strip()[2:].strip().strip("\"'"))
+        elif inside:
+            name, colon, value = bare.strip().partition(":")
+            name, value = name.strip().strip("\"'"), value.strip()
+            if not colon or value and not (value.startswith("[") and value.endswith("]")):
+                return {}
+            out[name] = [x.strip().strip("\"'") for x in value[1:-1].split(",") if x.strip()]
+    return out
+
+
+def categories(spark: SparkSession, configured: dict[str, list[str]] | None = None, defaults: dict[str, list[str]] = DEFAULT_CATEGORIES) -> DataFrame:
     """S-02: (dataset, pos, category), from the configuration or, for datasets it lacks, the defaults; the order counts."""
     merged = {**defaults, **(configured or {})}
     return spark.createDataFrame([(d, i, c) for d, cs in merged.items() for i, c in enumerate(cs)], "dataset string, pos int, category string")

@@ -15,8 +15,9 @@ def results(df: DataFrame, path: str, keys: tuple[str, ...] = ("model", "dataset
 
 
 def report(df: DataFrame, path: str, line: Column) -> None:
-    """K-02: formatted lines appended to a text table."""
-    df.select(line.alias("value")).write.mode("append").text(path)
+    """K-02: formatted lines appended to a text table, each report in a file of its own that a blank line ends."""
+    end = df.sparkSession.createDataFrame([("",)], "value string")
+    df.select(line.alias("value")).union(end).coalesce(1).write.mode("append").text(path)  # a report's rows, few by nature
 
 
 def request_log(df: DataFrame, path: str) -> None:

@@ -13,8 +13,6 @@ def test_percentiles_are_nearest_rank_half_even(spark):
     got = {r["g"]: (r["p50"], r["p95"]) for r in metrics.percentiles(df, ["g"], "x", {"p50": 0.5, "p95": 0.95}).collect()}
     c = sorted(x for g, x in rows if g == "c")
     assert got == {"a": (3.0, 4.0), "c": (c[round(0.5 * 100)], c[round(0.95 * 100)])}
-    same = df.groupBy("g").agg(metrics.percentile(F.col("x"), 0.5).alias("v")).collect()
-    assert {r["g"]: r["v"] for r in same} == {"a": 3.0, "b": None, "c": got["c"][0]}
 
 
 def test_spread(spark):
@@ -48,7 +46,7 @@ def test_cost_cut(spark):
 
 def test_greedy_prefix(spark):
     df = spark.createDataFrame([("c", 9, 2), ("a", 3, 0), ("b", 5, 1)], "t string, size long, pos long")
-    take = lambda b, m=9: [r["t"] for r in planning.greedy_prefix(df, "size", "pos", F.lit(b), F.lit(m)).orderBy("pos").collect()]
+    take = lambda b, m=9: [r["t"] for r in planning.greedy_prefix(df, "size", "pos", F.lit(b), m).orderBy("pos").collect()]
     assert take(2) == ["a"] and take(10) == ["a", "b"] and take(0) == ["a", "b", "c"] and take(0, 1) == ["a"]
 
 

@@ -63,6 +63,12 @@ def test_prices_categories_and_sources(spark, tmp_path):
     text = "# prices\ngpt-x:\n  input: 1.5\n  output: 2\nlocal: {input: 0, output: 0, cached_input: 0.1}\nbad:\n  input: x\n"
     assert sorted(tuple(r) for r in readers.price_table(spark, text).collect()) == [("gpt-x", 1.5, 2.0, None), ("local", 0.0, 0.0, 0.1)]
     assert readers.price_table(spark, "::").count() == 0
+    assert readers.price_table(spark, "a: {input: 1:2, output: 3}\nb: {input: 1, output: 2}").count() == 0
+    assert [tuple(r) for r in readers.price_table(spark, "m: {input: 1, output: 2, cached_input: 0.5}  # now").collect()] == [("m", 1.0, 2.0, 0.5)]
+    config = "categories:\n  meva: [spatial, 'counting']  # two\n  agibot:\n    - temporal\nother: 1\n"
+    assert readers.category_config(config) == {"meva": ["spatial", "counting"], "agibot": ["temporal"]} and readers.category_config("categories:\n  meva: {") == {}
+    rows = [tuple(r) for r in readers.categories(spark, readers.category_config(config)).orderBy("dataset", "pos").collect()]
+    assert rows[:5] == [("agibot", 0, "temporal"), ("ego-exo4d", 0, "temporal"), ("ego-exo4d", 1, "event_ordering"), ("ego-exo4d", 2, "best_camera"), ("ego-exo4d", 3, "summarization")] and len(rows) == 12
     assert [tuple(r) for r in readers.categories(spark, {"a": ["y", "x"]}, {"a": ["z"], "b": ["w"]}).orderBy("dataset", "pos").collect()] == [("a", 0, "y"), ("a", 1, "x"), ("b", 0, "w")]
     (tmp_path / "one.json").write_text('[{"task_type": "t", "options": ["A", "B"]}, {"task_type": "t"}]')
     (tmp_path / "old.json").write_text('[{"a": 1}]')

@@ -1,3 +1,5 @@
+import posixpath
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +90,33 @@ def test_letters_and_numbers(spark):
     assert one(spark, X.letters_phrase(F.lit("ABC"))) == "A, B, or C"
     assert one(spark, X.pycap(F.lit("yES no"))) == "Yes no"
     assert [one(spark, X.clean_null(F.lit(x))) for x in (" None ", "", "null", " a ")] == [None, None, None, "a"]
+
+
+def test_fixed_is_printf(spark):
+    values = [34.55, 154.45, 0.25, 0.35, 2.5, 3.5, 0.05, 99.95, -1.25, 0.0, 1e-9, 12345.675, 0.125, 7.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for places in (0, 1, 2):
+        got = [r[0] for r in df.select(X.fixed(F.col("x"), places)).collect()]
+        assert got == [f"{v:.{places}f}" for v in values]
+
+
+def test_normpath(spark):
+    paths = ["a//b/./c", "a/../b", "../a/..", "/../a", "", "./", "a/b/../../..", "/"]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in paths], "p string").select(X.normpath(F.col("p"))).collect()]
+    assert got == [posixpath.normpath(p) for p in paths]
+
+
+def test_normalized(spark):
+    broken = '{"question": "Is "it" so?",\n "options": {"A": "x",\n "B": "y"\n },\n "correct_option": "C"}'
+    rows = [(broken, "null"), (broken, '"A"'), ("{broken", '""'), ("plain", '{"correct_option": "", "answer": "D"}'), ("plain", "{}"), ("plain", None)]
+    got = [tuple(r) for r in spark.createDataFrame(rows, "q string, a string").select(X.normalized(F.col("q"), F.col("a")).alias("n")).select("n.*").collect()]
+    assert got == [
+        ('Is "it" so?', "C", ["double_encoded_question"]), ('Is "it" so?', "A", ["double_encoded_question"]), ("{broken", None, ["unparseable_question_json", "missing_answer"]),
+        ("plain", "D", ["dict_answer"]), ("plain", None, ["dict_answer", "missing_answer"]), ("plain", None, ["missing_answer"]),
+    ]
+
+
+def test_current_summary(spark):
+    lines = ['{"summary": "s"}', '{"summary": "s", "prompt_ver": null}', '{"summary": "s", "prompt_ver": "v1", "error": null}', '{"summary": "s", "prompt_ver": "v2"}', '{"summary": ""}', '{"summary": "s", "error": "x"}', "no json"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "x string").select(F.coalesce(X.current_summary(F.col("x"), "v1"), F.lit(False))).collect()]
+    assert got == [True, False, True, False, False, False, False]
