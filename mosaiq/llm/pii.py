@@ -1,7 +1,8 @@
 """Personal data: patterns for protected entities, and terms that reveal them.
 
 Base spans come from four patterns. An entity is a matched value; its contexts
-are the lines that hold it. From the corpus' counts of lines, a term's pointwise
+are the lines that hold it, where long lines count as lines of about 64 words
+each. From the corpus' counts of lines, a term's pointwise
 mutual information with an entity, as a share of the entity's information, says
 how much of the entity the term discloses (1: the term stands only beside it).
 Terms that reach the threshold in several different documents, more of them than
@@ -32,8 +33,12 @@ PATTERNS = {
 DISCLOSE, REMOVE, SUPPORT = 0.9, 0.98, 3
 #: The expected number of pairs of entity and term, of all that are tested, that chance alone brings together so often.
 CHANCE = 0.01
-#: Rows of a table of terms that is broadcast, at most; larger ones are joined by a shuffle.
-FEW = 100_000
+#: Bytes of a table of terms that is broadcast, at most; larger ones are joined by a shuffle.
+SMALL = 8 << 20
+#: Part of a line: up to 64 words, and then up to 20 that begin with a digit, so that no number is cut in two.
+PIECE = r"\S++(?:\s++\S++){0,63}+(?:\s++[+(0-9]\S*+){0,20}+"
+#: Matches that are placed in one go.
+BLOCK = 64
 TERM = "\\p{L}+"
 SPAN = "array<struct<start:bigint,k:int,end:bigint,value:string>>"
 
@@ -73,17 +78,42 @@ def _likely(kind: str, text: Column) -> Column:
 
 def _located(text: Column, pattern: Column) -> Column:
     """All matches of a pattern as (start, end, value), in code points."""
-    found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
-
-    def step(acc, pair):
-        a = acc["at"] + F.length(pair["gap"])
+    def step(at, pair):
+        a = at + F.length(pair["gap"])
         b = a + F.length(pair["m"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), pair["m"].alias("value")))).alias("out"))
+        return b, F.struct(a.alias("start"), b.alias("end"), pair["m"].alias("value"))
+
+    pair = lambda gap, m: F.struct(gap.alias("gap"), m.alias("m"))
+    of = lambda found: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, pair)
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: scanned(of(found), step, "struct<start:bigint,end:bigint,value:string>"))
+
+
+def let(value: Column, body) -> Column:
+    """The body's value for a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def scanned(items: Column, step, kind: str) -> Column:
+    """An array of what ``step`` gives for a running position and each item, as (new position, value).
 
-    pairs = F.transform(found, lambda m, i: F.struct(F.get(between, i).alias("gap"), m.alias("m")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    Arrays are copied whenever something is added to them, so values are gathered in blocks first.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc, item):
+        at, value = step(acc["at"], item)
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(value)).alias("out"))
+
+    def block(acc, held):
+        start = F.struct(acc["at"].alias("at"), none.alias("out"))
+        return let(F.aggregate(held, start, one), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    def blocks(held):
+        numbers = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / BLOCK).cast("int"))
+        return F.when(F.size(held) > 0, F.transform(numbers, lambda i: F.slice(held, i * BLOCK + 1, F.lit(BLOCK))))
+
+    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.coalesce(F.flatten(F.aggregate(let(items, blocks), empty, block, lambda acc: acc["out"])), none)
 
 
 def base_spans(text: Column) -> Column:
@@ -111,14 +141,15 @@ def _terms(line: Column) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """Marked for a broadcast if its measured size allows."""
-    return F.broadcast(df) if df.count() <= FEW else df
+    """Marked for a broadcast if its measured size in bytes allows."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= SMALL else df
 
 
 def disclosing(docs: DataFrame, text: str = "text", disclose: float = DISCLOSE, support: int = SUPPORT) -> DataFrame:
     """(term, share): terms that disclose some entity, with the largest share."""
     t = F.col(f"`{text}`").cast("string")
-    lines = docs.select(t.alias("t")).where("t is not null").select(F.xxhash64("t").alias("h"), F.explode(F.split("t", "\n", -1)).alias("line"))
+    lines = docs.select(t.alias("t")).where("t is not null").select(F.xxhash64("t").alias("h"), F.explode(F.flatten(F.transform(F.split("t", "\n", -1), lambda x: F.regexp_extract_all(x, F.lit(PIECE), F.lit(0))))).alias("line"))
     spans = base_spans(F.col("line"))
     # equal lines once, with their number and that of different texts: copies of a text add to the counts, not to the support
     held = lines.where(F.col("line").rlike("[0-9@]")).groupBy("line", "h").agg(F.count("*").alias("n")).groupBy("line").agg(F.sum("n").alias("n"), F.count("*").alias("d"))
@@ -138,11 +169,7 @@ def disclosing(docs: DataFrame, text: str = "text", disclose: float = DISCLOSE,
     entities = held.select("n", F.explode("es").alias("e")).groupBy("e").agg(F.sum("n").alias("c_e"))
     known = cut(strong.select("term").distinct(), "candidates")
     words = lines.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
-    if known.count() <= FEW:
-        words = words.join(F.broadcast(known), "term")
-        c_t = words.groupBy("term").agg(F.count("*").alias("c_t"))
-    else:
-        c_t = words.groupBy("term").agg(F.count("*").alias("c_t")).join(known, "term")
+    c_t = words.join(_small(known), "term").groupBy("term").agg(F.count("*").alias("c_t"))
     total = max(2, lines.count())
     bits = log(total)
     share = (F.log(F.col("c_et")) + bits - F.log(F.col("c_e")) - F.log(F.greatest("c_t", "c_et"))) / (bits - F.log(F.col("c_e")))
@@ -199,13 +226,11 @@ def sanitised(text: Column, spans: Column) -> Column:
         kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS], F.lit("[TERM]"))
         return F.when((x["k"] == len(KINDS)) & (x["value"] == "removed"), F.lit("")).otherwise(F.element_at(kinds, x["k"] + 1))
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        return F.when(x["start"] >= acc["at"], F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, name(x)).alias("out"))).otherwise(
-            F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))
-        )
+    def step(at, x):
+        gap = F.substring(text, (at + 1).cast("int"), (x["start"] - at).cast("int"))
+        return F.greatest(at, x["end"]), F.when(x["start"] >= at, F.concat(gap, name(x))).otherwise("")
 
-    done = F.aggregate(F.array_sort(spans), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    ordered = F.array_sort(spans)
+    last = F.array_max(F.transform(spans, lambda x: x["end"]))
+    rest = F.substring(text, (last + 1).cast("int"), F.length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(scanned(ordered, step, "string"), ""), rest)).otherwise(text)

@@ -1,7 +1,12 @@
+import hashlib
+import math
 import random
 import re
+import time
+from collections import Counter, defaultdict
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from mosaiq.llm import pii
@@ -95,3 +100,84 @@ def test_signatures_and_short_names(spark):
     got = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).select("row.doc_id", "text", "terms").collect()
     terms = {r["text"][s["start"] : s["end"]].lower() for r in got for s in r["terms"]}
     assert terms == {"contact", "annegret", "xu"}
+
+
+def pieces(line):
+    """Lines of up to 64 words, and then up to 20 more that begin with a digit."""
+    w, out, at = line.split(), [], 0
+    while at < len(w):
+        end = min(len(w), at + 64)
+        while end < min(len(w), at + 84) and w[end][0] in "+(0123456789":
+            end += 1
+        out.append(w[at:end])
+        at = end
+    return [" ".join(x) for x in out]
+
+
+def disclosing(texts):
+    """The terms by definition, in plain loops."""
+    lines = [(t, x) for t in texts if t is not None for line in t.split("\n") for x in pieces(line)]
+    c_e, c_t, c_et, places = Counter(), Counter(), Counter(), defaultdict(set)
+    for t, x in lines:
+        entities = set()
+        for part in filter(None, brute(x).split(",")):
+            kind, a, b = part.split(":")
+            value = x[int(a) : int(b)]
+            entities.add(kind + ":" + (value.lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", value)))
+        bare = x
+        for p in PATTERNS.values():
+            bare = re.sub(p, " ", bare)
+        words = lambda s: set(regex.findall(r"\p{L}+", s.lower()))
+        c_t.update(words(x))
+        for e in entities:
+            c_e[e] += 1
+            for w in words(bare):
+                c_et[e, w] += 1
+                places[e, w].add((t, x))
+    total, out = max(2, len(lines)), {}
+    for (e, w), n in c_et.items():
+        d = len(places[e, w])
+        t = max(c_t[w], n)
+        share = (math.log(n) + math.log(total) - math.log(c_e[e]) - math.log(t)) / (math.log(total) - math.log(c_e[e]))
+        chance = c_e[e] * t / total
+        if d >= 3 and share >= 0.9 and d > chance and d * math.log(d / chance) - d + chance >= math.log(len(places) / 0.01):
+            out[w] = max(out.get(w, 0), share)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_terms_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    vocab = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "klmnr"]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    texts = ["\n".join(say(rng.choice([0, 3, 9, 150])) for _ in range(4)) for _ in range(300)]
+    for k in range(12):
+        entity = rng.choice(["+49 30 123456%02d", "u%02d@mail.example.com", "10.0.0.%d", "4111 1111 1111 1111 %02d"]) % k
+        for _ in range(rng.choice([2, 4, 12])):
+            texts.append(f"{say(rng.choice([2, 100]))} name{'abcdefghijkl'[k]} {entity} {say(3)}" + (f" sure{'abcdefghijkl'[k]}" if rng.random() < 0.9 else ""))
+        texts += [f"only name{'abcdefghijkl'[k]} here"] * rng.choice([0, 0, 1, 9])
+    texts += [None, "", texts[-1], texts[301], texts[301]]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r["term"]: r["share"] for r in pii.disclosing(df).collect()}
+    expected = disclosing(texts)
+    assert got.keys() == expected.keys() and all(abs(got[w] - expected[w]) < 1e-9 for w in got)
+    assert len(got) > 2
+
+
+def test_long_lines_and_many_matches(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(n))
+    long = " ".join(f"{words(6)} +49 30 {rng.randrange(10**7, 10**8)}" for _ in range(2000))  # one line of 80 kB
+    rows = [(1, long), (2, "x"), (3, "1.1.1.1 " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r[0]: (r[1], r[2]) for r in pii.find(df, ["doc_id"]).select("row.doc_id", F.sha2(pii.joined(F.col("base")), 256), F.size("base")).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1][1] >= 2000 and got[3][1] == 5000
+    assert got[3][0] == hashlib.sha256(brute(rows[2][1]).encode()).hexdigest() and got[1][0] == hashlib.sha256(brute(long).encode()).hexdigest()
+
+
+def test_many_replacements(spark):
+    text = "to a@b.example and 1.2.3.4, " * 500
+    r = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"]).select(pii.sanitised(F.col("text"), F.col("base"))).first()[0]
+    assert r == "to [EMAIL] and [IP], " * 500
