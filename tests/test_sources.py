@@ -46,7 +46,7 @@ def test_results_tree_and_sinks(spark, tmp_path):
     assert [(r["model"], r["x"]) for r in back] == [("a_b", 1)]
     for _ in range(2):
         writers.report(df, str(tmp_path / "txt"), F.concat_ws(" ", "model", "x"))
-    assert [r[0] for r in spark.read.text(str(tmp_path / "txt")).collect()] == ["a/b 1"] * 2
+    assert [r[0] for r in spark.read.text(str(tmp_path / "txt")).collect()] == ["a/b 1", ""] * 2
     assert writers.markdown_table(df, ["model", "x"], ["x"]) == "| model | x |\n|:--|--:|\n| a/b | 1 |"
     writers.judge_sidecar(spark.createDataFrame([("k", 0.5)], "key string, judge_score double"), str(tmp_path / "judge"), "j", "rts")
     assert spark.read.json(str(tmp_path / "judge/header")).first()["mean_score"] == 0.5
