@@ -241,11 +241,11 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, voters: int = VOTERS) -> Model:
-    """A model from a bounded sample of the labelled rows that aren't held out; a doc_id with several labels counts as toxic if one says so."""
+    """A model from a bounded sample of the labelled rows that aren't held out; a doc_id with several labels counts as toxic if one says so, and one with several texts is learnt from by the first of them in order of characters."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     own = docs.select(F.col("doc_id").alias("d"), F.col("text").cast("string").alias("text"))
-    rows = cut(own.join(F.broadcast(known), F.col("d") == F.col("doc_id")).where("text is not null").dropDuplicates(["d"]).select("text", "toxic"), "labelled")
+    rows = cut(own.join(F.broadcast(known), F.col("d") == F.col("doc_id")).where("text is not null").groupBy("d").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"), "labelled")
     fixed = lexicon_features(LEXICON)
     names = np.unique(np.concatenate([fixed, mined(rows, voters)]))
 
