@@ -205,3 +205,18 @@ def contaminated(found: DataFrame) -> DataFrame:
     """``row`` with n_words, n_hit, items, and contaminated: some hit, and one word in twenty at least."""
     out = found.select("row", F.col("decon.n_words").alias("n_words"), n_hit(F.col("decon.spans")).alias("n_hit"), F.col("decon.items").alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
+
+
+def sql(span: int = SPAN) -> str:
+    """The digests of the registered query in DuckDB SQL, by comparing all windows."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item, n, w[i:i + n - 1] AS g FROM (SELECT item, w, least(len(w), {span}) AS n, unnest(range(1, greatest(len(w) - {span}, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT rid, n, i, w[i:i + n - 1] AS g FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+h AS (SELECT rid, i, dw.n, item FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
+k AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT rid, i, n FROM h)) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN k USING (rid) LEFT JOIN t USING (rid)"""

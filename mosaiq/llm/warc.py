@@ -328,3 +328,14 @@ def round_trip(pages: DataFrame, span: int = RANGE) -> DataFrame:
     if (got := rows.count()) != written:
         raise ValueError(f"{written} records were written, {got} read")
     return rows
+
+
+def sql() -> str:
+    """What a round trip says of each page, in DuckDB SQL; base 32 takes 5 bits, which two hexadecimal digits hold, for each letter."""
+    digit = "(strpos('0123456789abcdef', substr(h, {}, 1)) - 1)"
+    bits = f"({digit.format('5 * i // 4 + 1')} * 16 + greatest({digit.format('5 * i // 4 + 2')}, 0)) >> CAST(3 - 5 * i % 4 AS INT) & 31"
+    return f"""
+WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT *, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({bits}) AS INT) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id OR page_id IS NULL THEN first_id END AS refers_to FROM f"""
