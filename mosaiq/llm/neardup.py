@@ -316,3 +316,18 @@ def unique(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     columns = [F.col(f"`{c}`") for c in docs.columns]
     once = found.where("kept_times = 1").select(*columns)
     return once.union(found.where("kept_times > 1").dropDuplicates([KEY, "kept_id"]).select(*columns))
+
+
+def sql() -> str:
+    """The classes in DuckDB SQL, by comparing all texts that share a shingle."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, array_to_string(w, ' ') AS t, len(w) AS k FROM (SELECT doc_id, {words} AS w FROM documents)),
+t AS (SELECT row_number() OVER () AS x, t, n, least_id, copies FROM (SELECT t, any_value(greatest(k - {K - 1}, 1)) AS n, min(doc_id) AS least_id, count(*) AS copies FROM d WHERE k > 0 GROUP BY t)),
+g AS (SELECT x, array_to_string(w[i:i + {K - 1}], ' ') AS g FROM (SELECT x, w, unnest(range(1, n + 1)) AS i FROM (SELECT x, n, string_split(t, ' ') AS w FROM t))),
+o AS (SELECT x, g, row_number() OVER (PARTITION BY x, g) AS k FROM g),
+l AS (SELECT x, y FROM (SELECT a.x, b.x AS y, count(*) AS hits FROM o a JOIN o b ON a.g = b.g AND a.k = b.k AND a.x < b.x GROUP BY ALL) p JOIN t u USING (x) JOIN t v ON v.x = y WHERE 9 * hits >= 4 * (u.n + v.n)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x, x AS y FROM t UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+c AS (SELECT r.x, min(t.least_id) AS class_id, sum(t.copies)::BIGINT AS class_size FROM r JOIN t ON t.x = r.y GROUP BY r.x)
+SELECT doc_id, coalesce(class_id, CASE WHEN k > 0 THEN NULL ELSE doc_id END) AS class_id, coalesce(class_size, 1) AS class_size FROM d LEFT JOIN t ON t.t = d.t AND k > 0 LEFT JOIN c USING (x)"""

@@ -99,4 +99,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for those that SQL expresses and runs quickly over whole tables.
-SQL: dict[str, str] = {"op1_licenses": licenses.sql(), "op2_decontaminate": decontaminate.sql(), "op3_mixing": mixing.sql(), "op10_warc": warc.sql()}
+SQL: dict[str, str] = {"op1_licenses": licenses.sql(), "op2_decontaminate": decontaminate.sql(), "op3_mixing": mixing.sql(), "op8_bagminhash": neardup.sql(), "op10_warc": warc.sql()}
