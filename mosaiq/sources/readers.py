@@ -123,7 +123,7 @@ def _flow(text: str) -> dict[str, str]:
 
 
 def price_table(spark: SparkSession, text: str) -> DataFrame:
-    """S-09: (model, input, output, cached_input) of a YAML price list; a missing price is 0; a list that doesn't parse gives an empty table."""
+    """S-09: (model, input, output, cached_input) of a YAML price list; a missing price is 0; models with a price that is no number are left out; a list that doesn't parse gives an empty table."""
     rows: dict[str, dict[str, str]] = {}
     model, out = None, []
     try:
@@ -142,11 +142,14 @@ def price_table(spark: SparkSession, text: str) -> DataFrame:
                 raise ValueError(bare)
             else:
                 rows[model][name] = value
-        for m, r in rows.items():
-            v = {k: float(x) for k, x in r.items()}
-            out.append((m, v.get("input", 0.0), v.get("output", 0.0), v.get("cached_input")))
     except ValueError:
-        out = []
+        rows = {}
+    for m, r in rows.items():
+        try:
+            v = {k: float(x) for k, x in r.items()}
+        except ValueError:
+            continue
+        out.append((m, v.get("input", 0.0), v.get("output", 0.0), v.get("cached_input")))
     return spark.createDataFrame(out, "model string, input double, output double, cached_input double")
 
 
