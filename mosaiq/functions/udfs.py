@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -180,8 +181,17 @@ def rouge(reference: list[str], generated: list[str]) -> tuple[float, float, flo
     return out[0], out[1], _f1(lcs(reference, generated), len(reference), len(generated))
 
 
+#: Words whose stems a task remembers, at most.
+REMEMBERED = 1 << 18
+
+
 @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("rouge1", "rouge2", "rougeL")]))
-def rouge_scores(reference: pd.Series, generated: pd.Series) -> pd.DataFrame:
+def rouge_scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     porter, known = Porter(), {}
-    rows = [rouge(_tokens(a, porter, known), _tokens(b, porter, known)) for a, b in zip(reference, generated, strict=True)]
-    return pd.DataFrame(rows, columns=["rouge1", "rouge2", "rougeL"])
+    for reference, generated in batches:
+        rows = []
+        for a, b in zip(reference, generated, strict=True):
+            if len(known) > REMEMBERED:
+                known.clear()
+            rows.append(rouge(_tokens(a, porter, known), _tokens(b, porter, known)))
+        yield pd.DataFrame(rows, columns=["rouge1", "rouge2", "rougeL"])
