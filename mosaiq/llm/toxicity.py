@@ -11,10 +11,12 @@ classifier on the voters' counts, which scores every document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,8 @@ SAMPLE = 20_000
 #: Mined voters, at most, and training documents of the toxic class that one needs.
 VOTERS, SUPPORT = 400, 3
 THRESHOLD = 0.3
+#: Rows of the sample that the driver holds as a dense matrix at a time.
+BLOCK = 1024
 #: Lexicon voters that need no labels.
 LEXICON = "idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile dumb garbage filth vermin".split()
 STARTS, ENDS = (3, 4, 5, 6, 7, 8), (4, 5, 6)
@@ -176,7 +180,34 @@ def mined(sample: DataFrame, voters: int = VOTERS, support: int = SUPPORT) -> np
     return np.array([r["f"] for r in best.collect()], np.int64).astype(U64)
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class Sparse:
+    """Rows of a matrix as their entries: row ``i`` holds ``values[at[i]:at[i + 1]]`` in ``columns`` of the same places. Texts have few votes."""
+
+    at: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+    width: int
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.at) - 1, self.width
+
+
+def blocks(x: np.ndarray | Sparse) -> Iterator[tuple[slice, np.ndarray]]:
+    """All rows in dense blocks of float32, with their places; the driver holds one block at a time."""
+    for i in range(0, x.shape[0], BLOCK):
+        rows = slice(i, min(i + BLOCK, x.shape[0]))
+        if isinstance(x, np.ndarray):
+            yield rows, x[rows].astype(np.float32)
+            continue
+        a, b = x.at[rows.start], x.at[rows.stop]
+        out = np.zeros((rows.stop - i, x.width), np.float32)
+        out[np.repeat(np.arange(len(out)), np.diff(x.at[i : rows.stop + 1])), x.columns[a:b]] = x.values[a:b]
+        yield rows, out
+
+
+def label_model(votes: np.ndarray | Sparse, labels: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of the toxic class for each row, vote rates by class, and groups of correlated voters.
 
     votes: rows x voters, 0 or 1; 0 abstains. That all abstain is a sign of its own. The annotators' label is one more voter, held to be right more often than not.
@@ -184,21 +215,24 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tupl
     n, k = votes.shape
     post = np.clip(labels.astype(np.float64), 0.02, 0.98)
     groups = np.arange(k)
-    x = votes.astype(np.float32)
     rates = np.zeros((2, k))
+    silent = np.ones(n, bool)
+    for at, x in blocks(votes):
+        silent[at] = ~x.any(axis=1)
     for step in range(rounds):
         w1, w0 = post.sum(), (1 - post).sum()
-        rates = np.stack([((1 - post) @ x + 0.05) / (w0 + 1), (post @ x + 0.5) / (w1 + 1)])
+        sums = np.zeros((2, k))
+        for at, x in blocks(votes):
+            sums += np.stack([1 - post[at], post[at]]) @ x
+        rates = np.stack([(sums[0] + 0.05) / (w0 + 1), (sums[1] + 0.5) / (w1 + 1)])
         right = np.clip(np.array([((1 - post) @ (1 - labels) + 1) / (w0 + 2), (post @ labels + 1) / (w1 + 2)]), 0.95, 0.999)
         if step == 2 and k:  # correlations within the toxic class
-            pick = post > 0.5
-            z = x[pick] - x[pick].mean(axis=0)
-            norm = np.sqrt((z * z).sum(axis=0)) + 1e-6
-            groups = _linked(np.abs(z.T @ z / norm[:, None] / norm[None, :]) > 0.6)
+            groups = _linked(_correlation(votes, post > 0.5) > 0.6)
         share = 1 / np.bincount(groups, minlength=k)[groups] if k else np.zeros(0)
-        silent = ~x.any(axis=1) if k else np.ones(n, bool)
         quiet = np.log(((post @ silent) + 0.5) / (w1 + 1)) - np.log((((1 - post) @ silent) + 0.5) / (w0 + 1))
-        z = np.log((w1 + 1) / (w0 + 1)) + x @ (np.log(rates[1] / rates[0]) * share) + quiet * silent
+        z = np.log((w1 + 1) / (w0 + 1)) + quiet * silent
+        for at, x in blocks(votes):
+            z[at] += x @ (np.log(rates[1] / rates[0]) * share)
         z += np.where(labels == 1, np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0]))
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         if np.abs(new - post).max() < 1e-4:
@@ -207,6 +241,20 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tupl
     return post, rates, groups
 
 
+def _correlation(votes: np.ndarray | Sparse, pick: np.ndarray) -> np.ndarray:
+    """Absolute correlation of each two voters over the picked rows."""
+    k = votes.shape[1]
+    mean, product = np.zeros(k), np.zeros((k, k))
+    for at, x in blocks(votes):
+        mean += x[pick[at]].sum(axis=0, dtype=np.float64)
+    mean /= max(1, pick.sum())
+    for at, x in blocks(votes):
+        z = (x[pick[at]] - mean).astype(np.float32)
+        product += z.T @ z
+    norm = np.sqrt(np.diagonal(product)) + 1e-6
+    return np.abs(product / norm[:, None] / norm[None, :])
+
+
 def _linked(near: np.ndarray) -> np.ndarray:
     """Group numbers of a symmetric relation's components."""
     group = np.arange(len(near))
@@ -219,17 +267,22 @@ def _linked(near: np.ndarray) -> np.ndarray:
         group = new
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Weights and bias of a ridge logistic regression on soft labels, by Newton steps."""
-    a = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
-    w = np.zeros(a.shape[1])
+def logistic(x: np.ndarray | Sparse, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Weights and bias of a ridge logistic regression on soft labels, by Newton steps. Gradient and curvature are added up over blocks of rows."""
+    k = x.shape[1]
+    w = np.zeros(k + 1)
     w[-1] = np.log((y.sum() + 1) / ((1 - y).sum() + 1))
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        s = np.maximum(p * (1 - p), 1e-4)
-        step = np.linalg.solve((a * s[:, None].astype(a.dtype)).T @ a + np.diag(penalty), a.T @ (p - y) + penalty * w)
+        gradient, curvature = penalty * w, np.diag(penalty)
+        for at, rows in blocks(x):
+            a = np.concatenate([rows, np.ones((len(rows), 1), rows.dtype)], axis=1)
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            s = np.maximum(p * (1 - p), 1e-4)
+            gradient += a.T @ (p - y[at])
+            curvature += (a * s[:, None].astype(a.dtype)).T @ a
+        step = np.linalg.solve(curvature, gradient)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-3:
             break
@@ -263,15 +316,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, voters: int
         weights = np.concatenate([np.full(len(names), 6.0), np.zeros(len(names)), [-4.0]])
         return Model(names, weights, np.zeros((2, len(names))), np.arange(len(names)))
     words = got["words"].to_numpy()
-    x = np.zeros((len(y), 2 * len(names)), np.float32)
-    sizes = np.array([len(w) for w in got["which"].to_pylist()])
-    row = np.repeat(np.arange(len(y)), sizes)
+    at = np.concatenate([[0], np.cumsum(pc.list_value_length(got["which"]).to_numpy())])
     which = got["which"].combine_chunks().flatten().to_numpy()
     count = got["count"].combine_chunks().flatten().to_numpy()
-    x[row, which] = np.log1p(count)
-    x[row, len(names) + which] = np.sqrt(count / np.maximum(1, words[row]))
-    post, rates, groups = label_model((x[:, : len(names)] > 0).astype(np.uint8), y)
-    return Model(names, logistic(x, post), rates, groups)
+    words = np.repeat(np.maximum(1, words), np.diff(at))
+    post, rates, groups = label_model(Sparse(at, which, np.ones(len(which), np.float32), len(names)), y)
+    both = np.stack([which, len(names) + which], axis=1).ravel()
+    values = np.stack([np.log1p(count), np.sqrt(count / words)], axis=1).astype(np.float32).ravel()
+    return Model(names, logistic(Sparse(2 * at, both, values, 2 * len(names)), post), rates, groups)
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: list[str], text: str = "text", sample: int = SAMPLE) -> DataFrame:

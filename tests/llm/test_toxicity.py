@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -60,3 +61,35 @@ def test_slices_do_not_change_features():
     a = pa.array(["Word other words " * 30, None, "ein Wörterbuch", ""])
     many, one = (sorted((r + i, int(f)) for i, _, _, parts in toxicity.features(a, limit) for rows, x in parts for r, f in zip(rows, x, strict=True)) for limit in (40, 1 << 20))
     assert many == one
+
+
+def test_training_holds_no_dense_matrix_of_the_sample():
+    rng = np.random.default_rng(3)
+    n, k = 20_000, 400  # as many rows and voters as there can be
+    at = np.concatenate([[0], np.cumsum(rng.integers(0, 12, n))])
+    columns = np.concatenate([rng.choice(k, b - a, replace=False) for a, b in zip(at[:-1], at[1:], strict=True)])
+    x = toxicity.Sparse(at, columns, np.ones(at[-1], np.float32), k)
+    labels = (rng.random(n) < 0.1).astype(float)
+    tracemalloc.start()
+    toxicity.label_model(x, labels, rounds=4)
+    toxicity.logistic(toxicity.Sparse(2 * at, np.stack([columns, k + columns], axis=1).ravel(), np.ones(2 * at[-1], np.float32), 2 * k), labels, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20  # such a matrix of float32 takes 64 MB
+
+
+def test_sparse_rows_give_what_dense_ones_do():
+    rng = np.random.default_rng(4)
+    votes = (rng.random((2500, 30)) < 0.1).astype(np.uint8)  # three blocks, the last one short
+    votes[:, 29] = votes[:, 28]
+    votes[[0, 1023, 1024, 2499]] = 0
+    labels = (rng.random(2500) < 0.1 + 0.6 * votes[:, 0]).astype(float)
+    row, column = np.nonzero(votes)
+    x = toxicity.Sparse(np.searchsorted(row, np.arange(2501)), column, np.ones(len(row), np.float32), 30)
+    assert all(np.allclose(a, b) for a, b in zip(toxicity.label_model(x, labels), toxicity.label_model(votes, labels), strict=True))
+    w = toxicity.logistic(x, labels)
+    assert np.allclose(w, toxicity.logistic(votes, labels))
+    p = 1 / (1 + np.exp(-(votes @ w[:-1] + w[-1])))
+    assert np.abs(votes.T @ (p - labels) + w[:-1]).max() < 1e-2 and abs((p - labels).sum() + 1e-3 * w[-1]) < 1e-2  # the gradient is 0
+    none = toxicity.Sparse(np.zeros(4, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), 0)
+    assert len(toxicity.label_model(none, np.array([0.0, 1, 0]))[0]) == 3 and toxicity.logistic(none, np.zeros(3)).shape == (1,)
